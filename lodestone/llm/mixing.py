@@ -48,7 +48,7 @@ def targets(sizes: list[int], weights: list[float], most: float = 3.0) -> list[f
                 out[i] = unit * weights[i]
             break
         for i in full:
-            out[i] = most * sizes[i]
+            out[i] = float(most * sizes[i])
             left -= out[i]
         open_ = [i for i in open_ if i not in set(full)]
     return out
