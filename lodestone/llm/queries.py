@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import decontaminate
 from .mixing import mix_sources
+from .near_dedup import near_dedup
 from .quality import quality_rules
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -48,6 +49,10 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(table(spark, sf_dir, "pages"), URL_RULES).drop("component")
 
