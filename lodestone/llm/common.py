@@ -145,6 +145,20 @@ def slices(batches, limit: int = CHUNK_BYTES, text: int = 1):
             yield batch.slice(a, b - a)
 
 
+def row_filter(docs: DataFrame, text_col: str, make_mask) -> DataFrame:
+    """Rows of `docs`, all columns, for which a mask over (bytes, offsets) of the texts is set; make_mask() gives the mask function on an executor."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        mask = make_mask()
+        for piece in slices(batches, CHUNK_BYTES, at):
+            keep = mask(*utf8(piece.column(at)))
+            if keep.any():
+                yield piece.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 # ---------------------------------------------------------------- hashing
 
 

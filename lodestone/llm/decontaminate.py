@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, covered, id_array, ids_of, prefix, rolling, ship, slices, utf8, written
+from .common import CHUNK_BYTES, Words, covered, id_array, ids_of, prefix, rolling, row_filter, ship, slices, utf8, written
 
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8 << 20
@@ -122,19 +122,25 @@ def _scanner(index):
     return run
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per document: doc_id, text, n_words, hit (per word; null if none is), items (sorted ids as strings)."""
-    spark = docs.sparkSession
-    ship(spark)
-    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).cast("string").alias("text")).where("length(text) > 0").distinct()
+def benchmark_blocks(benchmark: DataFrame, n: int, item_col: str, text_col: str, block_bytes: int):
+    """For each block of the benchmark a function that broadcasts its windows."""
+    spark = benchmark.sparkSession
+    bench = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(text_col).cast("string").alias("text")).where("length(text) > 0").distinct()
     total = bench.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
-    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for k in range(blocks):
         own = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([tuple(x) for x in own.collect()], n))
-        out = out.mapInArrow(_scanner(index), SCHEMA)
-        if k < blocks - 1:
+        yield lambda own=own: spark.sparkContext.broadcast(Index([tuple(x) for x in own.collect()], n))
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Per document: doc_id, text, n_words, hit (per word; null if none is), items (sorted ids as strings)."""
+    ship(docs.sparkSession)
+    blocks = list(benchmark_blocks(benchmark, n, item_col, item_text_col, block_bytes))
+    out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    for k, index in enumerate(blocks):
+        out = out.mapInArrow(_scanner(index()), SCHEMA)
+        if k < len(blocks) - 1:
             out = written(out, "hits")
     return out
 
@@ -147,7 +153,27 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, **columns)
     return hits.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), F.col("hit").isNotNull().alias("contaminated"))
 
 
-def _cut(mode: str):
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 10, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of `docs` that no window hits, with all their columns."""
+    ship(docs.sparkSession)
+
+    def clean(index):
+        def mask(data, offsets):
+            w, hit, _ = index.value.scan(data, offsets)
+            seen = np.concatenate([[0], np.cumsum(hit)])
+            return seen[w.first[1:]] == seen[w.first[:-1]]
+
+        return lambda: mask
+
+    blocks = list(benchmark_blocks(benchmark, n, item_col, item_text_col, block_bytes))
+    for k, index in enumerate(blocks):
+        docs = row_filter(docs, text_col, clean(index()))
+        if k < len(blocks) - 1:
+            docs = written(docs, "clean")
+    return docs
+
+
+def _cut():
     def run(batches):
         for b in batches:
             texts, hits = b.column(1).to_pylist(), b.column(3).to_pylist()
@@ -176,4 +202,4 @@ def cleaned(docs: DataFrame, benchmark: DataFrame, n: int = 10, remove: str = "d
         return hits.where("hit is null").select("doc_id", "text")
     if remove != "spans":
         raise ValueError("remove is 'documents' or 'spans'")
-    return hits.mapInArrow(_cut(remove), SCHEMA).select("doc_id", "text")
+    return hits.mapInArrow(_cut(), SCHEMA).select("doc_id", "text")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, BYTE_CODE, CHUNK_BYTES, SPACE, Words, covered, id_array, ids_of, mix, prefix, rolling, ship, slices, spans, utf8
+from .common import BASE2, BYTE_CODE, CHUNK_BYTES, SPACE, Words, covered, id_array, ids_of, mix, prefix, rolling, row_filter, ship, slices, spans, utf8
 
 #: Fixed values of the contract.
 SYMBOLS = np.zeros(256, bool)
@@ -246,24 +246,28 @@ def fit_models(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
     return out
 
 
+def judge(data: np.ndarray, offsets: np.ndarray, models: dict, thresholds: tuple[float, float]):
+    """Base counts, whether base rules fail, probabilities by model (nan without one), and the verdict on each text."""
+    w, c = counts(data, offsets)
+    failed = base_failed(c)
+    n = len(failed)
+    wd, wf = word_features(w)
+    gf, gd, size = gram_features(data, offsets)
+    p = {}
+    for head, model in models.items():
+        if model is None:
+            p[head] = np.full(n, np.nan)
+            continue
+        weight, bias, slope, shift = model
+        score = bias + np.bincount(wd, weight[wf], n) + GRAM_SCALE * np.bincount(gd, weight[gf], n) / np.maximum(1, size)
+        p[head] = _sigmoid(slope * score + shift)
+    return c, failed, p, ~failed & ~(p["quality"] < thresholds[0]) & ~(p["toxic"] >= thresholds[1])
+
+
 def _score(models, thresholds: tuple[float, float]):
     def run(batches):
         for piece in slices(batches, CHUNK_BYTES):
-            data, offsets = utf8(piece.column(1))
-            w, c = counts(data, offsets)
-            failed = base_failed(c)
-            n = len(failed)
-            wd, wf = word_features(w)
-            gf, gd, size = gram_features(data, offsets)
-            p = {}
-            for head, model in models.value.items():
-                if model is None:
-                    p[head] = np.full(n, np.nan)
-                    continue
-                weight, bias, slope, shift = model
-                score = bias + np.bincount(wd, weight[wf], n) + GRAM_SCALE * np.bincount(gd, weight[gf], n) / np.maximum(1, size)
-                p[head] = _sigmoid(slope * score + shift)
-            kept = ~failed & ~(p["quality"] < thresholds[0]) & ~(p["toxic"] >= thresholds[1])
+            c, failed, p, kept = judge(*utf8(piece.column(1)), models.value, thresholds)
             names = [x.split()[0] for x in SCHEMA.split(", ")]
             arrays = [id_array(ids_of(piece.column(0))), *(pa.array(c[k], pa.int64()) for k in names[1:6]), pa.array(failed), pa.array(kept)]
             arrays += [pa.array(p[h], pa.float64(), mask=np.isnan(p[h])) for h in ("quality", "toxic")]
@@ -272,12 +276,22 @@ def _score(models, thresholds: tuple[float, float]):
     return run
 
 
+def _models(docs: DataFrame, labels: DataFrame, id_col, text_col, label_id_col, quality_col, toxic_col, fit_rows):
+    ship(docs.sparkSession)
+    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    models = fit_models(own, labels.select(F.col(label_id_col).cast("bigint").alias("id"), F.col(quality_col).alias("quality"), F.col(toxic_col).alias("toxic")), fit_rows)
+    return own, docs.sparkSession.sparkContext.broadcast(models)
+
+
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = FIT_ROWS, thresholds: tuple[float, float] = (THRESHOLD_QUALITY, THRESHOLD_TOXIC)) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept, p_quality, p_toxic (null without a model).
 
     kept: the base rules hold, p_quality is at least and p_toxic below its threshold."""
-    spark = docs.sparkSession
-    ship(spark)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    models = fit_models(own, labels.select(F.col(label_id_col).cast("bigint").alias("id"), F.col(quality_col).alias("quality"), F.col(toxic_col).alias("toxic")), fit_rows)
-    return own.mapInArrow(_score(spark.sparkContext.broadcast(models), thresholds), SCHEMA)
+    own, models = _models(docs, labels, id_col, text_col, label_id_col, quality_col, toxic_col, fit_rows)
+    return own.mapInArrow(_score(models, thresholds), SCHEMA)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_id_col: str = "doc_id", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = FIT_ROWS, thresholds: tuple[float, float] = (THRESHOLD_QUALITY, THRESHOLD_TOXIC)) -> DataFrame:
+    """The rows of `docs` that are kept, with all their columns."""
+    _, models = _models(docs, labels, id_col, text_col, label_id_col, quality_col, toxic_col, fit_rows)
+    return row_filter(docs, text_col, lambda: lambda data, offsets: judge(data, offsets, models.value, thresholds)[3])

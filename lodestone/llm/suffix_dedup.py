@@ -33,6 +33,7 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import BUCKET_BYTES, BYTE_CODE, CHUNK_BYTES, bits, blob, bucket_count, by_bucket, covered, id_array, pack, prefix, rolling, spans, text_bytes, unbits, unpack
 
@@ -338,8 +339,8 @@ def gather_index(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum())) + shift
 
 
-NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed_spans"]
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_text", "text_md5", "removed_spans"]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
 
 
 def _remove(plan: Plan, full: bool):
@@ -371,20 +372,22 @@ def _remove(plan: Plan, full: bool):
         n_spans = np.diff(np.concatenate([[0], np.cumsum(begin)])[offsets])
         body, cuts = kept.tobytes(), offsets - removed[offsets]
         parts_of = [body[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        lists = []
+        lists, whole = [], []
         if full:
+            texts = data.tobytes()
+            whole = [hashlib.md5(texts[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
             for i, n in enumerate(n_spans.tolist()):
                 own = np.diff(np.concatenate([[0], gone[offsets[i] : offsets[i + 1]].astype(np.int8), [0]])) if n else np.zeros(0)
                 lists.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1))])
         none = [None] * len(ids)
-        values = [id_array(ids), np.diff(offsets), n_removed, n_spans, [hashlib.sha256(x).hexdigest() for x in parts_of], parts_of if full else none, lists if full else none]
+        values = [id_array(ids), np.diff(offsets), n_removed, n_spans, [hashlib.sha256(x).hexdigest() for x in parts_of], parts_of if full else none, [x.decode("utf-8", "ignore") for x in parts_of] if full else none, whole if full else none, lists if full else none]
         return pa.table([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, TYPES)], names=NAMES)
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", full: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `full` also kept_bytes and removed_spans.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `full` also kept_bytes, kept_text (without the bytes of characters that were cut through), text_md5 (of the whole text) and removed_spans.
 
     Bytes covered by a string of `length` bytes that also starts in a document with a smaller id are removed."""
     plan = Plan(length, bucket_count(text_bytes(docs, text_col), bucket_bytes))
@@ -393,4 +396,16 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
     pieces = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_pieces(plan), SENT)
     answers = pieces.groupBy("bucket").applyInArrow(_match(plan), BACK)
     out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(plan, full), RESULT)
-    return out if full else out.drop("kept_bytes", "removed_spans")
+    return out if full else out.drop("kept_bytes", "kept_text", "text_md5", "removed_spans")
+
+
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """`docs` with what is left of each text (bytes of characters that were cut through are dropped); documents of which nothing is left go."""
+    kept = suffix_dedup(docs, length, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_md5"])
+    own = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
+    joined = own.join(kept, (own[id_col].cast("bigint").eqNullSafe(kept["_id"])) & (own["_md5"] == kept["_md5"]), "left").drop(kept["_md5"])
+    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.col("_kept"))
+    out = joined.withColumn(text_col, text).where(F.col("_kept").isNull() | (F.length(F.col(text_col)) > 0))
+    if chars_col:
+        out = out.withColumn(chars_col, F.when(F.col("_kept").isNull(), F.col(chars_col)).otherwise(F.length(F.col(text_col))).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)
