@@ -14,8 +14,8 @@ of one minimizer.  Passes over a written table of chunks:
    are equal strings, and the least document of each such run is its owner;
 3. bytes covered by a string whose owner is a smaller document are removed.
 
-Pieces without a shared minimizer can't hold a string that occurs in two
-documents, so only they are left out.  Equal pieces of a chunk or bucket are one
+Pieces without a shared minimizer, and those whose equals are the minimizer's only
+pieces, hold no string that another piece has; only they are left out of collections.  Equal pieces of a chunk or bucket are one
 piece of the collection, so copies cost one entry per chunk.  A collection's
 files live in a folder of the task's own and go with it; nothing else reads them.
 
@@ -35,14 +35,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BUCKET_BYTES, BYTE_CODE, CHUNK_BYTES, bits, blob, bucket_count, by_bucket, covered, id_array, pack, prefix, rolling, spans, text_bytes, unbits, unpack
+from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, covered, id_array, pack, prefix, rolling, spans, text_bytes, unbits, unpack
 
 U64 = np.uint64
 SENT = "bucket bigint, chunk bigint, keys binary, lens binary, owners binary, bytes binary"
 BACK = "chunk bigint, bucket bigint, bits binary"
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary, removed_spans array<struct<start:bigint,end:bigint>>"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary, kept_text string, text_md5 string, removed_spans array<struct<start:bigint,end:bigint>>"
 #: Symbols of one collection, as far as minimizers can be told apart.
-BLOCK_SYMBOLS = 2 << 20
+BLOCK_SYMBOLS = 1 << 20
+#: Bytes of text in a chunk, and for which one bucket is made: a bucket's pieces are about twice that.
+CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 
 
 class Columns:
@@ -291,8 +293,8 @@ def _match(plan: Plan):
         start = np.concatenate([[0], np.cumsum(lens)[:-1]])
         data = np.where(data == 0, 0xFF, data).astype(np.uint8)  # no UTF-8 text has this byte
         text = np.zeros(len(lens), U64)
-        for a in range(0, len(lens), 100_000):
-            b = min(a + 100_000, len(lens))
+        for a in range(0, len(lens), 20_000):
+            b = min(a + 20_000, len(lens))
             own = data[start[a] : start[b - 1] + lens[b - 1]]
             text[a:b] = spans(prefix(BYTE_CODE[own]), start[a:b] - start[a], start[a:b] - start[a] + lens[a:b])
         # one piece of each kind, by minimizer; its owner is the least
@@ -304,21 +306,26 @@ def _match(plan: Plan):
         kind[order] = np.cumsum(new) - 1
         edge = np.ones(len(lead) + 1, bool)
         edge[1:-1] = minimizer[lead][1:] != minimizer[lead][:-1]
-        size = np.concatenate([[0], np.cumsum(lens[lead])])
         count = lens[lead] - plan.length + 1
         base = np.concatenate([[0], np.cumsum(count)])
         least = np.empty(base[-1], np.int64)
         edges = np.flatnonzero(edge)
+        lone = np.repeat(np.diff(edges) == 1, np.diff(edges))  # a collection of one piece: no other holds its strings
+        least[gather_index(base[:-1][lone], count[lone])] = np.repeat(owner[lead[lone]], count[lone])
+        many = np.flatnonzero(~lone)
+        edges = np.searchsorted(many, edges)
+        edges = np.unique(edges)
+        size = np.concatenate([[0], np.cumsum(lens[lead[many]])])
         a = 0
-        while a < len(lead):  # collections of whole minimizers
+        while a < len(many):  # collections of whole minimizers
             i = np.searchsorted(edges, a)
             b = int(edges[max(i + 1, np.searchsorted(size[edges], size[a] + BLOCK_SYMBOLS, "right") - 1)])
-            own = lead[a:b]
+            own = lead[many[a:b]]
             symbols = gather(data, start[own], lens[own])
             piece, offset, of = suffix_classes(symbols, np.concatenate([[0], np.cumsum(lens[own])[:-1]]), lens[own], plan.length)
             least_of = np.full(int(of.max(initial=0)) + 1, np.iinfo(np.int64).max)
             np.minimum.at(least_of, of, owner[own][piece])
-            least[base[a] + (base[a + piece] - base[a]) + offset] = least_of[of]
+            least[base[many[a:b]][piece] + offset] = least_of[of]
             a = b
         out, at = [], 0
         for chunk, bucket, key in zip(chunks, buckets, keys):
