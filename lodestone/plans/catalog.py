@@ -6,13 +6,16 @@ same rows, or None where SQL can't.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import scalar as S
-from lodestone.operators import compare, dedup, intervals, resolve, reshape, text
+from lodestone.operators import compare, dedup, intervals, reshape, resolve, text
+from lodestone.sources import codecs, files, legacy
 
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -121,14 +124,14 @@ def resolve_with_owner(spark, folder):
 
 
 @query("""
-WITH p AS (SELECT p_partkey, p_name, p_brand FROM part), a AS (SELECT p_partkey AS k, p_brand AS x FROM p WHERE p_partkey % 3 = 0),
-b AS (SELECT p_name AS n, CASE WHEN min(p_brand) = max(p_brand) THEN min(p_brand) END AS y FROM p WHERE p_partkey < 40 GROUP BY 1)
+WITH p AS (SELECT p_partkey, p_name, p_brand, p_size FROM part), a AS (SELECT p_partkey AS k, p_brand AS x FROM p WHERE p_size > 25),
+b AS (SELECT p_name AS n, CASE WHEN min(p_brand) = max(p_brand) THEN min(p_brand) END AS y FROM p WHERE p_size = 1 GROUP BY 1)
 SELECT p.p_partkey, coalesce(a.x, b.y) AS target, CASE WHEN a.x IS NOT NULL THEN 1 WHEN b.y IS NOT NULL THEN 2 END AS resolved_by
 FROM p LEFT JOIN a ON a.k = p.p_partkey LEFT JOIN b ON b.n = p.p_name""")
 def two_key_fallback(spark, folder):
-    part = t(spark, folder, "part").select("p_partkey", "p_name", "p_brand")
+    part = t(spark, folder, "part").select("p_partkey", "p_name", "p_brand", "p_size")
     left = part.select("p_partkey", "p_name")
-    return resolve.resolve_first(left, [(part.where("p_partkey % 3 = 0"), ["p_partkey"], "p_brand"), (part.where("p_partkey < 40"), ["p_name"], "p_brand")]).select("p_partkey", "target", "resolved_by")
+    return resolve.resolve_first(left, [(part.where("p_size > 25"), ["p_partkey"], "p_brand"), (part.where("p_size = 1"), ["p_name"], "p_brand")]).select("p_partkey", "target", "resolved_by")
 
 
 @query(r"""
@@ -364,12 +367,12 @@ def column_ordinal(spark, folder):
 
 
 @query("""
-WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 97 = 0 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 101 <> 0)
+WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag FROM lineitem), b AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'A' AND l_linenumber = 5 THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem WHERE NOT (l_returnflag = 'R' AND l_linenumber = 7))
 SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, sum(x)::BIGINT AS left_count, sum(y)::BIGINT AS right_count FROM (SELECT *, 1 AS x, 0 AS y FROM a UNION ALL SELECT *, 0, 1 FROM b) GROUP BY 1, 2, 3, 4 HAVING sum(x) <> sum(y)""")
 def manifest_diff(spark, folder):
     columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"]
     left = t(spark, folder, "lineitem").select(*columns)
-    right = left.where("l_orderkey % 101 <> 0").withColumn("l_quantity", F.when(F.col("l_orderkey") % 97 == 0, F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
+    right = left.where("not (l_returnflag = 'R' and l_linenumber = 7)").withColumn("l_quantity", F.when((F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 5), F.col("l_quantity") + 1).otherwise(F.col("l_quantity")))
     return compare.multiset_diff(left, right, columns)
 
 
@@ -383,16 +386,18 @@ def bucket_pairing(spark, folder):
 
 
 @query("""
-WITH a AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'NaN'::DOUBLE ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 40 <> 1),
-b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 50 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 7 = 0 THEN o_totalprice * (1 + 1e-14) WHEN o_orderkey % 11 = 0 THEN o_totalprice + 0.01 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 60 <> 2)
+WITH a AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' THEN 'NaN'::DOUBLE ELSE o_totalprice END AS v FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '5-LOW')),
+b AS (SELECT o_orderkey, CASE WHEN o_orderpriority = '3-MEDIUM' AND o_orderstatus = 'P' THEN 'NaN'::DOUBLE WHEN o_orderstatus = 'F' THEN o_totalprice * (1 + 1e-14) WHEN o_orderpriority = '2-HIGH' THEN o_totalprice + 0.01 ELSE o_totalprice END AS v FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'))
 SELECT o_orderkey, a.v AS left_value, b.v AS right_value, CASE WHEN a.o_orderkey IS NULL THEN 'missing_left' WHEN b.o_orderkey IS NULL THEN 'missing_right' ELSE 'value' END AS reason FROM a FULL JOIN b USING (o_orderkey)
 WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR isnan(a.v) OR isnan(b.v) OR abs(a.v - b.v) > greatest(1e-12 * greatest(abs(a.v), abs(b.v)), 1e-12)""")
 def tolerant_cell_diff(spark, folder):
-    orders = t(spark, folder, "orders").select("o_orderkey", "o_totalprice")
-    nan = F.lit(float("nan"))
-    key = F.col("o_orderkey")
-    left = orders.where("o_orderkey % 40 <> 1").select(key, F.when(key % 50 == 0, nan).otherwise(F.col("o_totalprice")).alias("v"))
-    right = orders.where("o_orderkey % 60 <> 2").select(key, F.when(key % 50 == 0, nan).when(key % 7 == 0, F.col("o_totalprice") * (1 + 1e-14)).when(key % 11 == 0, F.col("o_totalprice") + F.lit(0.01)).otherwise(F.col("o_totalprice")).alias("v"))
+    orders = t(spark, folder, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    nan, price = F.lit(float("nan")), F.col("o_totalprice")
+    partial, status = F.col("o_orderstatus") == "P", F.col("o_orderpriority")
+    odd = partial & (status == "3-MEDIUM")
+    left = orders.where(~(partial & (status == "5-LOW"))).select("o_orderkey", F.when(odd, nan).otherwise(price).alias("v"))
+    changed = F.when(odd, nan).when(F.col("o_orderstatus") == "F", price * (1 + 1e-14)).when(status == "2-HIGH", price + F.lit(0.01)).otherwise(price)
+    right = orders.where(~(partial & (status == "1-URGENT"))).select("o_orderkey", changed.alias("v"))
     return compare.cell_differences(left, right, ["o_orderkey"], "v")
 
 
@@ -424,6 +429,80 @@ def recursive_tree(spark, folder):
     return reshape.tree([(t(spark, folder, "region"), "r_regionkey", None, "r_name"), (t(spark, folder, "nation"), "n_nationkey", "n_regionkey", "n_name"), (t(spark, folder, "customer"), "c_custkey", "c_nationkey", "c_name")])
 
 
+# ------------------------------------------------------------- bytes and codecs
+
+
+def contents(spark, folder, table: str = "documents", key: str = "doc_id", text: str = "text"):
+    return t(spark, folder, table).select(key, F.col(text).cast("binary").alias("content"))
+
+
+@query()
+def binary_strings(spark, folder):
+    return files.strings(contents(spark, folder), 4, "doc_id")
+
+
+@query("""
+WITH l AS (SELECT event_id // 1000 AS block, string_agg(CASE WHEN event_type = 'error' THEN 'gap' ELSE event_id || ' ' || user_id END, chr(10) ORDER BY event_id) AS body FROM events GROUP BY 1),
+p AS (SELECT block, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS n FROM l), g AS (SELECT *, line <> 'gap' AS ok FROM p),
+i AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY block ORDER BY n) AS island FROM g), c AS (SELECT block, island, line, n, count(*) OVER (PARTITION BY block, island) AS size, row_number() OVER (PARTITION BY block, island ORDER BY n) AS r FROM i WHERE ok)
+SELECT block, dense_rank() OVER (PARTITION BY block ORDER BY island)::INTEGER AS table_no, r::INTEGER AS row_in_table, string_split(line, ' ')[1] AS first, string_split(line, ' ')[2] AS second FROM c WHERE size >= 3""")
+def numeric_table_scan(spark, folder):
+    line = F.when(F.col("event_type") == "error", "gap").otherwise(F.concat("event_id", F.lit(" "), "user_id"))
+    body = t(spark, folder, "events").groupBy(F.floor(F.col("event_id") / 1000).alias("block")).agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("line")))).alias("l"))
+    made = body.select("block", F.array_join(F.transform("l", lambda x: x["line"]), "\n").cast("binary").alias("content"))
+    found = files.numeric_tables(made, 3, 2, "block")
+    kept = found.select("block", "table_id").distinct().withColumn("table_no", F.row_number().over(Window.partitionBy("block").orderBy("table_id")))
+    return found.join(kept, ["block", "table_id"]).select("block", "table_no", "row_in_table", F.col("values")[0].alias("first"), F.col("values")[1].alias("second"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest, octet_length(encode(text))::BIGINT AS n_bytes FROM documents")
+def lz4_roundtrip(spark, folder):
+    packed = files.transcoded(contents(spark, folder).withColumn("n_bytes", F.octet_length("content").cast("bigint")), "content", "packed", lambda b: len(b).to_bytes(4, "little") + codecs.lz4_encode(b))
+    back = files.transcoded(packed, "packed", "back", lambda b: codecs.lz4_decode(b[4:], int.from_bytes(b[:4], "little"))[0])
+    return back.select("doc_id", F.sha2("back", 256).alias("digest"), "n_bytes")
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def byterun_decode(spark, folder):
+    packed = files.transcoded(contents(spark, folder), "content", "packed", codecs.byte_runs_encode)
+    return files.transcoded(packed, "packed", "back", lambda b: codecs.byte_runs_decode(b)[0]).select("doc_id", F.sha2("back", 256).alias("digest"))
+
+
+@query('SELECT vec_id, (i - 1)::INTEGER AS pos, embedding[i]::DOUBLE AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)')
+def fpc_roundtrip(spark, folder):
+    return embeddings_roundtrip(t(spark, folder, "embeddings"))
+
+
+def embeddings_roundtrip(df):
+    files.ship(df.sparkSession)
+
+    def run(batches):
+        for b in batches:
+            for key, values in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                got, _ = codecs.fpc_decode(codecs.fpc_encode(codecs.patterns(values)), len(values))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), pa.int64()), pa.array(range(len(got)), pa.int32()), pa.array(codecs.doubles(got), pa.float64())], names=["vec_id", "pos", "value"])
+
+    return df.select("vec_id", F.col("embedding").cast("array<double>")).mapInArrow(run, "vec_id bigint, pos int, value double")
+
+
+@query("""
+WITH f AS (SELECT o_orderkey, o_totalprice, o_orderkey // 1000 AS file, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS "row" FROM orders)
+SELECT file, 'Book1_A' AS name, "row", 'float' AS kind, o_totalprice AS f64, NULL::BIGINT AS i64 FROM f UNION ALL SELECT file, 'Book1_B', "row", 'integer', NULL, o_orderkey FROM f""")
+def legacy_project_cells(spark, folder):
+    rows = t(spark, folder, "orders").groupBy(F.floor(F.col("o_orderkey") / 1000).alias("file")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", "o_totalprice"))).alias("r"))
+    files.ship(spark)
+
+    def run(batches):
+        for b in batches:
+            for key, r in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                a = legacy.pack_dataset("Book1_A", b"".join(struct.pack("<d", x["o_totalprice"]) for x in r), len(r), 8)
+                c = legacy.pack_dataset("Book1_B", b"".join(struct.pack("<i", x["o_orderkey"]) for x in r), len(r), 4, 0x800)
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([legacy.pack_file([a, c])], pa.binary())], names=["file", "content"])
+
+    made = rows.mapInArrow(run, "file bigint, content binary")
+    return files.legacy_cells(made, "file").select("file", "name", "row", "kind", "f64", "i64")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in REGISTRY.items()}
 
