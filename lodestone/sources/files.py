@@ -36,7 +36,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def binary_files(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
-    """path, modified, length, content of each file below a path."""
+    """path, modified, length, content of each file below a path; Spark's source has no row for an empty file."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
