@@ -258,11 +258,11 @@ def covered(n: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 # ---------------------------------------------------------------- chunks
 
-CHUNK_SCHEMA = "chunk bigint, ids array<bigint>, lens binary, payload binary"
+CHUNK_SCHEMA = "chunk bigint, ids array<bigint>, lens binary, payload binary, carried binary"
 
 
-def chunk_row(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, chunk: int) -> pa.RecordBatch:
-    """One chunk, its documents by identifier; copies of an identifier stay in their order of length and text."""
+def chunk_row(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, chunk: int, carried: pa.Table | None = None) -> pa.RecordBatch:
+    """One chunk, its documents by identifier, those of one identifier by text; `carried`: their other columns."""
     order = np.argsort(ids, kind="stable")
     if len(order) > 1 and np.any(ids[order][1:] == ids[order][:-1]):
         body = data.tobytes()
@@ -270,11 +270,23 @@ def chunk_row(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, chunk: int
     lens = np.diff(offsets)[order]
     body = b"".join(data[offsets[i] : offsets[i + 1]].tobytes() for i in order)
     return pa.RecordBatch.from_arrays(
-        [pa.array([chunk], pa.int64()), pa.array([id_array(ids[order]).to_pylist()], pa.list_(pa.int64())), pa.array([lens.astype("<i8").tobytes()], pa.binary()), pa.array([zstandard.ZstdCompressor(level=3).compress(body)], pa.binary())],
-        names=["chunk", "ids", "lens", "payload"],
+        [pa.array([chunk], pa.int64()), pa.array([id_array(ids[order]).to_pylist()], pa.list_(pa.int64())), *(pa.array([x], pa.binary()) for x in (lens.astype("<i8").tobytes(), zstandard.ZstdCompressor(level=3).compress(body), None if carried is None else table_bytes(carried.take(pa.array(order)))))],
+        names=["chunk", "ids", "lens", "payload", "carried"],
     )
 
 
+def table_bytes(table: pa.Table) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def carried_of(table: pa.Table | pa.RecordBatch, row: int = 0) -> pa.Table:
+    """The other columns of a chunk's documents, in the order of unpack()."""
+    return pa.ipc.open_stream(table.column("carried")[row].as_buffer()).read_all()
+
+
 def _packer(limit: int):
     def run(batches):
         base, number, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
@@ -283,14 +295,15 @@ def _packer(limit: int):
             ids = np.concatenate([x[0] for x in held])
             lens = np.concatenate([np.diff(x[2]) for x in held])
             data = np.concatenate([x[1] for x in held])
-            return chunk_row(ids, data, np.concatenate([[0], np.cumsum(lens)]), base + number)
+            carried = pa.Table.from_batches([x[3] for x in held]) if held[0][3].num_columns else None
+            return chunk_row(ids, data, np.concatenate([[0], np.cumsum(lens)]), base + number, carried)
 
         for piece in slices(batches, limit):
             data, offsets = utf8(piece.column(1))
             if held and size + len(data) > limit:
                 yield emit()
                 number, held, size = number + 1, [], 0
-            held.append((ids_of(piece.column(0)), data, offsets))
+            held.append((ids_of(piece.column(0)), data, offsets, pa.RecordBatch.from_arrays(piece.columns[2:], names=piece.schema.names[2:])))
             size += len(data)
         if held:
             yield emit()
@@ -298,10 +311,10 @@ def _packer(limit: int):
     return run
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Documents as a written table of chunks."""
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: list[str] = ()) -> DataFrame:
+    """Documents as a written table of chunks, with the columns `carry` if asked for."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
+    own = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
     return written(own.mapInArrow(_packer(chunk_bytes), CHUNK_SCHEMA), "chunks")
 
 

@@ -35,12 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, covered, id_array, pack, prefix, rolling, spans, text_bytes, unbits, unpack
+from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, carried_of, covered, id_array, pack, prefix, rolling, spans, text_bytes, unbits, unpack
 
 U64 = np.uint64
 SENT = "bucket bigint, chunk bigint, keys binary, lens binary, owners binary, bytes binary"
 BACK = "chunk bigint, bucket bigint, bits binary"
-RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary, kept_text string, text_md5 string, removed_spans array<struct<start:bigint,end:bigint>>"
+RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary, removed_spans array<struct<start:bigint,end:bigint>>"
+#: Tells null texts from empty ones.
+NULLS = "_has_text"
 #: Symbols of one collection, as far as minimizers can be told apart.
 BLOCK_SYMBOLS = 1 << 20
 #: Bytes of text in a chunk, and for which one bucket is made: a bucket's pieces are about twice that.
@@ -346,30 +348,36 @@ def gather_index(start: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.arange(int(lens.sum())) + shift
 
 
-NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "kept_text", "text_md5", "removed_spans"]
-TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+NAMES = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_bytes", "removed_spans"]
+TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+
+
+def _gone(plan: Plan, chunk: pa.Table, answered: pa.Table):
+    """Ids, bytes and offsets of a chunk, and which bytes are covered by a string of a smaller document."""
+    flags, owned = {}, {}
+    for bucket, x in zip(answered.column("bucket").to_pylist(), answered.column("bits").to_pylist()):
+        (flags if bucket < 0 else owned)[-1 - bucket if bucket < 0 else bucket] = x
+    _, ids, data, offsets, start, count, owner, _, kind, first, deal, parts = plan.shared(chunk, flags)
+    gone = np.zeros(len(data), bool)
+    if len(start):
+        c = count[first]
+        base = np.concatenate([[0], np.cumsum(c)])
+        earlier = np.zeros(base[-1], bool)  # for each string of each kind: some smaller document has it
+        for bucket, p in parts:
+            if bucket in owned:
+                which = deal[p]
+                earlier[gather_index(base[which], c[which])] = unbits(owned[bucket], int(c[which].sum()))
+        lost = earlier[gather_index(base[kind], count)] | np.repeat(owner != owner[first][kind], count)
+        at = gather_index(start, count)[lost]
+        gone = covered(len(data), at, at + plan.length)
+    return ids, data, offsets, gone
 
 
 def _remove(plan: Plan, full: bool):
     def run(chunk: pa.Table, answered: pa.Table) -> pa.Table:
         if not chunk.num_rows:
             return pa.table([pa.array([], t) for t in TYPES], names=NAMES)
-        flags, owned = {}, {}
-        for bucket, x in zip(answered.column("bucket").to_pylist(), answered.column("bits").to_pylist()):
-            (flags if bucket < 0 else owned)[-1 - bucket if bucket < 0 else bucket] = x
-        number, ids, data, offsets, start, count, owner, minimizer, kind, first, deal, parts = plan.shared(chunk, flags)
-        gone = np.zeros(len(data), bool)
-        if len(start):
-            c = count[first]
-            base = np.concatenate([[0], np.cumsum(c)])
-            earlier = np.zeros(base[-1], bool)  # for each string of each kind: some smaller document has it
-            for bucket, p in parts:
-                if bucket in owned:
-                    which = deal[p]
-                    earlier[gather_index(base[which], c[which])] = unbits(owned[bucket], int(c[which].sum()))
-            lost = earlier[gather_index(base[kind], count)] | np.repeat(owner != owner[first][kind], count)
-            at = gather_index(start, count)[lost]
-            gone = covered(len(data), at, at + plan.length)
+        ids, data, offsets, gone = _gone(plan, chunk, answered)
         kept, removed = data[~gone], np.concatenate([[0], np.cumsum(gone)])
         n_removed = np.diff(removed[offsets])
         begin = gone.copy()
@@ -379,40 +387,63 @@ def _remove(plan: Plan, full: bool):
         n_spans = np.diff(np.concatenate([[0], np.cumsum(begin)])[offsets])
         body, cuts = kept.tobytes(), offsets - removed[offsets]
         parts_of = [body[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
-        lists, whole = [], []
+        lists = []
         if full:
-            texts = data.tobytes()
-            whole = [hashlib.md5(texts[a:b]).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])]
             for i, n in enumerate(n_spans.tolist()):
                 own = np.diff(np.concatenate([[0], gone[offsets[i] : offsets[i + 1]].astype(np.int8), [0]])) if n else np.zeros(0)
                 lists.append([{"start": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(own == 1), np.flatnonzero(own == -1))])
         none = [None] * len(ids)
-        values = [id_array(ids), np.diff(offsets), n_removed, n_spans, [hashlib.sha256(x).hexdigest() for x in parts_of], parts_of if full else none, [x.decode("utf-8", "ignore") for x in parts_of] if full else none, whole if full else none, lists if full else none]
+        values = [id_array(ids), np.diff(offsets), n_removed, n_spans, [hashlib.sha256(x).hexdigest() for x in parts_of], parts_of if full else none, lists if full else none]
         return pa.table([v if isinstance(v, pa.Array) else pa.array(v, t) for v, t in zip(values, TYPES)], names=NAMES)
 
     return run
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", full: bool = True, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `full` also kept_bytes, kept_text (without the bytes of characters that were cut through), text_md5 (of the whole text) and removed_spans.
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with `full` also kept_bytes and removed_spans.
 
     Bytes covered by a string of `length` bytes that also starts in a document with a smaller id are removed."""
+    out = _passes(docs, length, id_col, text_col, chunk_bytes, bucket_bytes, (), lambda plan: _remove(plan, full), RESULT)
+    return out if full else out.drop("kept_bytes", "removed_spans")
+
+
+def _passes(docs: DataFrame, length: int, id_col: str, text_col: str, chunk_bytes: int, bucket_bytes: int, carry, last, schema) -> DataFrame:
     plan = Plan(length, bucket_count(text_bytes(docs, text_col), bucket_bytes))
-    chunks = pack(docs, id_col, text_col, chunk_bytes)
+    chunks = pack(docs, id_col, text_col, chunk_bytes, carry)
     shared = chunks.mapInArrow(_send_minimizers(plan), SENT).groupBy("bucket").applyInArrow(mark_shared, BACK)
     pieces = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_pieces(plan), SENT)
     answers = pieces.groupBy("bucket").applyInArrow(_match(plan), BACK)
-    out = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(plan, full), RESULT)
-    return out if full else out.drop("kept_bytes", "kept_text", "text_md5", "removed_spans")
-
-
-def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
-    """`docs` with what is left of each text (bytes of characters that were cut through are dropped); documents of which nothing is left go."""
-    kept = suffix_dedup(docs, length, id_col, text_col).where("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("text_md5").alias("_md5"), F.col("kept_text").alias("_kept")).dropDuplicates(["_id", "_md5"])
-    own = docs.withColumn("_md5", F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
-    joined = own.join(kept, (own[id_col].cast("bigint").eqNullSafe(kept["_id"])) & (own["_md5"] == kept["_md5"]), "left").drop(kept["_md5"])
-    text = F.when(F.col("_kept").isNull(), F.col(text_col)).otherwise(F.col("_kept"))
-    out = joined.withColumn(text_col, text).where(F.col("_kept").isNull() | (F.length(F.col(text_col)) > 0))
-    if chars_col:
-        out = out.withColumn(chars_col, F.when(F.col("_kept").isNull(), F.col(chars_col)).otherwise(F.length(F.col(text_col))).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(last(plan), schema)
+
+
+def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """`docs` with what is left of each text; bytes of characters that were cut through are dropped, and so are texts of which nothing is left.
+
+    The other columns travel with the chunks."""
+    names = docs.columns
+    carry = [c for c in names if c != text_col]
+
+    def last(plan: Plan):
+        def run(chunk: pa.Table, answered: pa.Table) -> pa.Table:
+            if not chunk.num_rows:
+                return pa.table({})
+            _, data, offsets, gone = _gone(plan, chunk, answered)
+            others = carried_of(chunk)
+            removed = np.concatenate([[0], np.cumsum(gone)])
+            cuts, body = offsets - removed[offsets], data[~gone].tobytes()
+            touched = np.diff(removed[offsets]) > 0
+            texts = [body[a:b].decode("utf-8", "ignore" if t else "strict") for a, b, t in zip(cuts[:-1], cuts[1:], touched)]
+            null = np.array([x is None for x in others.column(NULLS).to_pylist()])
+            keep = ~touched | np.array([bool(x) for x in texts], bool)
+            columns = {text_col: pa.array(texts, pa.string(), mask=null)}
+            for c in carry:
+                columns[c] = others.column(c)
+            if chars_col:
+                n = [len(x) if t else old for x, t, old in zip(texts, touched, others.column(chars_col).to_pylist())]
+                columns[chars_col] = pa.array(n, others.schema.field(chars_col).type)
+            return pa.table([columns[c] for c in names], names=names).filter(pa.array(keep))
+
+        return run
+
+    marked = docs.withColumn(NULLS, F.when(F.col(text_col).isNotNull(), F.lit(True)))
+    return _passes(marked, length, id_col, text_col, chunk_bytes, bucket_bytes, [*carry, NULLS], last, docs.schema)
