@@ -32,7 +32,7 @@ def safe_name(name: Column) -> Column:
     """A portable file name: other characters become underscores, reserved stems get one in front, nothing is empty."""
     cleaned = F.regexp_replace(F.regexp_replace(name, r"[^A-Za-z0-9._-]", "_"), r"^[. ]+|[. ]+$", "")
     cleaned = F.when(F.lower(cleaned).rlike(r"^(con|prn|aux|nul|com[1-9]|lpt[1-9])(\..*)?$"), F.concat(F.lit("_"), cleaned)).otherwise(cleaned)
-    return F.when(F.length(cleaned) == 0, F.lit("unnamed")).otherwise(cleaned)
+    return F.when(F.length(cleaned) == 0, F.lit("item")).otherwise(cleaned)
 
 
 def julian_epoch_seconds(day: Column) -> Column:

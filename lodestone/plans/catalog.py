@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions import classify
 from lodestone.functions import scalar as S
 from lodestone.operators import compare, dedup, intervals, reshape, resolve, text
 from lodestone.sources import codecs, files, legacy
@@ -429,6 +430,35 @@ def recursive_tree(spark, folder):
     return reshape.tree([(t(spark, folder, "region"), "r_regionkey", None, "r_name"), (t(spark, folder, "nation"), "n_nationkey", "n_regionkey", "n_name"), (t(spark, folder, "customer"), "c_custkey", "c_nationkey", "c_name")])
 
 
+# ------------------------------------------------------------- classes
+
+
+@query("""
+SELECT 'documents' AS origin, CASE WHEN text IS NULL OR length(text) = 0 THEN 'unknown_text' WHEN contains(lower(text), '<html') OR contains(lower(text), '</html>') THEN 'html_like'
+WHEN contains(text, '# ') OR contains(text, '- ') OR contains(text, '* ') OR contains(text, '```') OR contains(text, '> ') THEN 'markdown_like' ELSE 'plain_text' END AS payload_type, count(*) AS n FROM documents GROUP BY 1, 2
+UNION ALL SELECT 'pages', CASE WHEN contains(lower(html), '<html') OR contains(lower(html), '</html>') THEN 'html_like' ELSE 'other' END, count(*) FROM pages GROUP BY 1, 2""")
+def note_payload_type(spark, folder):
+    a = t(spark, folder, "documents").select(F.lit("documents").alias("origin"), classify.note_payload_type(F.col("text")).alias("payload_type"))
+    b = t(spark, folder, "pages").select(F.lit("pages").alias("origin"), classify.note_payload_type(F.col("html")).alias("payload_type"))
+    b = b.withColumn("payload_type", F.when(F.col("payload_type") == "html_like", "html_like").otherwise("other"))
+    return a.unionByName(b).groupBy("origin", "payload_type").agg(F.count("*").alias("n"))
+
+
+@query(r"""
+SELECT doc_id, (length(text) - length(replace(text, chr(65533), '')))::INTEGER AS replacement_characters, (length(text) - length(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')))::INTEGER AS control_characters FROM documents""")
+def text_issue_counts(spark, folder):
+    return t(spark, folder, "documents").select("doc_id", classify.text_issues(F.col("text")).alias("x")).select("doc_id", "x.*")
+
+
+@query("""
+WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents), s AS (SELECT doc_id, trim(v, ' ') AS v FROM c),
+g AS (SELECT doc_id, count(*) FILTER (length(v) > 0) AS n, count(*) FILTER (v = '??' OR starts_with(v, 'cell://')) AS inner_n, count(*) FILTER (length(v) > 0 AND (length(v) > 160 OR contains(v, '<') OR contains(v, '>') OR contains(v, chr(92)) OR contains(v, '"') OR contains(v, '@') OR v[1] IN ('!', ')', ';'))) AS odd FROM s GROUP BY 1)
+SELECT doc_id, n AS n_values, CASE WHEN n = 0 THEN 'empty' WHEN inner_n = n THEN 'internal_references' WHEN n >= 8 AND odd * 2 > n THEN 'corrupt_text' ELSE 'data' END AS content_class FROM g""")
+def tabular_content_class(spark, folder):
+    cells = t(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "v"))
+    return classify.content_class(cells, "doc_id", "row", "v")
+
+
 # ------------------------------------------------------------- bytes and codecs
 
 

@@ -78,7 +78,7 @@ def test_functions(spark):
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
     assert [value(S.column_ordinal(F.lit(x))) for x in ("A", "Z", "AA", "a1")] == [1, 26, 27, None]
-    assert value(S.safe_name(F.lit("a b/c"))) == "a_b_c" and value(S.safe_name(F.lit("CON.txt"))) == "_CON.txt" and value(S.safe_name(F.lit(""))) == "unnamed"
+    assert value(S.safe_name(F.lit("a b/c"))) == "a_b_c" and value(S.safe_name(F.lit("CON.txt"))) == "_CON.txt" and value(S.safe_name(F.lit(""))) == "item"
     assert value(S.julian_epoch_seconds(F.lit(2440588.0))) == 86400 and value(S.julian_epoch_seconds(F.lit(1.0))) is None
     assert value(S.cell_reference(F.lit("cell://[B]S!a.b"))).asDict() == {"book": "B", "sheet": "S", "parts": ["a", "b"]}
     assert value(S.range_references(F.lit("x [Book1]Sheet1!A + [B]S!C"))) == ["[Book1]Sheet1!A", "[B]S!C"]
@@ -86,3 +86,22 @@ def test_functions(spark):
     assert [value(S.note_type(F.lit(x))) for x in ("{\\rtf1", " <HTML>", "<a>", "x", " ")] == ["rtf", "html", "xml", "text", "empty"]
     order = spark.createDataFrame([("a10",), ("a2",), ("A1",)], "n string").orderBy(S.natural_key(F.col("n")))
     assert [r[0] for r in order.collect()] == ["A1", "a2", "a10"]
+
+
+def test_classes(spark):
+    from lodestone.functions import classify as C
+
+    names = spark.createDataFrame([("Graph3",), ("a.XLSX",), ("Matrix1",), ("Spreadsheet",), ("Spread2",), ("__x",), ("foo",)], "n string")
+    assert [r[0] for r in names.select(C.object_kind(F.col("n"))).collect()] == ["graph", "excel", "matrix", "worksheet", "matrix", "meta", None]
+    one = spark.range(1)
+    value = lambda c: one.select(c).first()[0]
+    assert [value(C.note_payload_type(F.lit(x))) for x in ("", "a <HTML>", "x\n# y", "plain")] == ["unknown_text", "html_like", "markdown_like", "plain_text"]
+    assert tuple(value(C.text_issues(F.lit("a\ufffd\x01\n\t\x7f")))) == (1, 2)
+    assert [value(C.value_type(F.lit(x).cast("int"))) for x in (0x10, 0x39, 0x34, 0x77, None)] == ["numeric", "text_numeric", "month", "text", "unknown"]
+    assert value(C.designation(F.lit(6))) == "XErr"
+    kinds = [(n, d, e) for n, d, e in (("A_B", 0, 0), ("x", 0x6081, 0), ("x", 0, 0x4001), ("Matrix", 0, 0), ("x", 0, 0))]
+    df = spark.createDataFrame(kinds, "n string, d int, e int")
+    assert [r[0] for r in df.select(C.dataset_kind(F.col("n"), F.col("d"), F.col("e"))).collect()] == ["worksheet", "function", "matrix", "matrix", "meta"]
+    cells = [("a", 1, " "), ("b", 1, "??"), ("b", 1, "cell://x"), ("d", 1, "x"), ("d", 1, "y")] + [("c", i, "<q>") for i in range(9)]
+    got = dict(tuple(r)[::2] for r in C.content_class(spark.createDataFrame(cells, "t string, r int, v string"), "t", "r", "v").collect())
+    assert got == {"a": "empty", "b": "internal_references", "c": "corrupt_text", "d": "data"}
