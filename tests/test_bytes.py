@@ -1,5 +1,6 @@
 """Codecs, scans, the legacy reader and the commands."""
 
+import math
 import random
 import struct
 import zlib
@@ -9,7 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lodestone.plans import surface
-from lodestone.sources import codecs, files, legacy, scans
+from lodestone.sources import codecs, columns, files, legacy, scans
 
 
 @settings(max_examples=150, deadline=None)
@@ -169,3 +170,34 @@ def test_arrivals(spark, tmp_path):
         arrivals.catalog_arrivals(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
         assert spark.read.parquet(str(tmp_path / "out")).count() == n
         (folder / "b.bin").write_bytes(b"CPYUA 4.3 1#\n")
+
+
+def values(raw):
+    column = columns.decode(raw)
+    return None if column is None else [c.value for c in column.cells]
+
+
+def test_known_columns():
+    half, gone = struct.pack("<d", 0.5), struct.pack("<d", legacy.MISSING)
+    one = bytes.fromhex("0a0501ffff0100010c07") + struct.pack("<d", 500.0) + b"\xce"
+    assert values(one) == [500.0] and columns.decode(one).encoding == "fpc-fcm-dfcm"
+    prefix = bytes.fromhex("0a0504ffff0300041af03f010c07") + half + bytes.fromhex("ffff01010200ce")
+    assert values(prefix) == [1.0, 1.0, 0.5, None]
+    segmented = bytes.fromhex("0a0504ffff0200021af03f010c07") + gone + bytes.fromhex("010000ffff01010200ce")
+    assert values(segmented) == [1.0, None, None, None]
+    texts = bytes.fromhex("0a0504ffff04010505") + b"alpha\0\x04beta" + bytes.fromhex("0200ce")
+    assert values(texts) == ["alpha", "", "beta", None] and columns.decode(texts).encoding == "utf8-sequence"
+    integers = bytes.fromhex("0a041effff1e01050100003600ce")
+    assert values(integers) == [1, 0, 0] + [None] * 27 and columns.value_type(columns.decode(integers)) == "unsigned_integer"
+    assert values(bytes.fromhex("0a050101 0000ce".replace(" ", ""))) == [None]
+    assert values(bytes.fromhex("0a0520ffff20014000ce")) == [None] * 32 and columns.decode(bytes.fromhex("0a0520ffff20014000ce")).encoding == "empty"
+    compact = bytes.fromhex("0a0503") + b"\0\0\x64" + b"\0\0\x1a\xf0\x3f" + bytes.fromhex("ffff01010200ce")
+    assert values(compact) == [0.0, 1.0, None]
+    for raw in (one[:-1], one + b"x", texts[:-2] + b"\xce", b"\x0a\x05", b"", b"\x0a\x06\x01\xce", one[:-9] + struct.pack("<d", math.inf) + b"\xce"):
+        assert columns.decode(raw) is None
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.none() | st.floats(allow_nan=False, allow_infinity=False), min_size=1, max_size=40))
+def test_number_columns(cells):
+    assert [None if v is None else codecs.patterns([v]) for v in values(columns.encode_numbers(cells))] == [None if v is None else codecs.patterns([v]) for v in cells]
