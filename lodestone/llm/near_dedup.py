@@ -13,8 +13,8 @@ a band are candidates:
    star: as many pairs as rows), and pairs are verified on their whole sets;
 3. connected components of the verified links;
 4. buckets that still hold several components are compared across components in
-   blocks of nodes, by signatures and then on whole sets, and components are
-   made again.  So every pair that shares a band is either in one component
+   blocks of nodes, by signatures and then on whole sets, all within a task that
+   returns only links that join components; and components are made again.  So every pair that shares a band is either in one component
    or has been compared.
 
 A link is a probability Jaccard similarity of weighted shingles, or a Jaccard
@@ -33,14 +33,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, CHUNK_BYTES, SPACE, Words, mix, prefix, rolling, shared_dir, ship, slices, spans, utf8, written
+from .common import BYTE_CODE, CHUNK_BYTES, NULL_ID, SPACE, Words, mix, prefix, rolling, shared_dir, ship, slices, spans, utf8, written
 from .url_filters import components
 
 U64 = np.uint64
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Nodes of a block in step 4, and the estimate from which a pair is compared whole (over 4 deviations below a similarity of 0.8).
-BLOCK, ESTIMATE = 256, 0.65
+BLOCK, ESTIMATE = 512, 0.65
 BLOOM_WORDS = 1 << 19
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -199,35 +199,83 @@ def _compare(threshold: float):
     return run
 
 
+def sets_of(nodes: DataFrame, own: DataFrame, width: int) -> DataFrame:
+    """Shingle sets of the nodes (and of few others): node, keys, weights."""
+    wanted = own.sparkSession.sparkContext.broadcast(bloom(nodes))
+    return own.mapInArrow(_sets(width, wanted), "node binary, keys binary, weights binary").groupBy("node").agg(F.first("keys").alias("keys"), F.first("weights").alias("weights"))
+
+
 def verified(pairs: DataFrame, own: DataFrame, width: int, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) of nodes that are links, with their similarity; a written table."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = own.sparkSession.sparkContext.broadcast(bloom(nodes))
-    sets = own.mapInArrow(_sets(width, wanted), "node binary, keys binary, weights binary").groupBy("node").agg(F.first("keys").alias("keys"), F.first("weights").alias("weights"))
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), own, width)
     first = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("weights").alias("wa"))
     second = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("weights").alias("wb"))
     return written(pairs.join(second, "b").join(first, "a").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(_compare(threshold), "a binary, b binary, similarity double"), "links")
 
 
-def _across(estimate: float):
-    """Pairs of one block of a bucket whose components differ and whose signatures are near."""
+def bounds(sets: list[np.ndarray], weights: list[np.ndarray | None], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
+    """Jaccard similarity of each two different sets, and what their probability Jaccard is at most.
+
+    With U elements in two sets, an element's term is at most its larger weight over U."""
+    n = len(sets)
+    own, at = np.repeat(np.arange(n), [len(x) for x in sets]), np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(x) for x in sets], float)
+    excess = np.array([0.0 if w is None else float(w.sum()) - len(w) for w in weights])
+    shared = np.bincount(at)[at] > 1  # an element of one set alone only counts in its size
+    own, at = own[shared], np.unique(at[shared], return_inverse=True)[1]
+    order = np.argsort(at, kind="stable")
+    own, at = own[order], at[order]
+    both, width = np.zeros((n, n), np.float32), int(at[-1]) + 1 if len(at) else 0
+    for low in range(0, width, columns):
+        a, b = np.searchsorted(at, [low, low + columns])
+        has = np.zeros((n, min(columns, width - low)), np.float32)
+        has[own[a:b], at[a:b] - low] = 1
+        both += has @ has.T
+    union = np.maximum(1, size[:, None] + size[None, :] - both)
+    return both / union, (both + excess[:, None] + excess[None, :]) / union
+
+
+def _across(estimate: float, threshold: float):
+    """Links that join the components in one pair of blocks of a bucket: nodes of near signatures are compared whole, unless they are joined already."""
 
     def run(table: pa.Table) -> pa.Table:
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        node, label, block = (table.column(c).to_pylist() for c in ("node", "label", "block"))
-        sig = np.stack([np.frombuffer(x, np.uint32) for x in table.column("sig").to_pylist()])
-        names, part = np.unique(np.array(label, dtype=object), return_inverse=True)
-        block = np.array(block)
-        out = [[], []]
+        node, label, block, sig, keys, weights = (table.column(c).to_pylist() for c in ("node", "label", "block", "sig", "keys", "weights"))
+        sig = np.stack([np.frombuffer(x, np.uint32) for x in sig])
+        part, block = np.unique(np.array(label, dtype=object), return_inverse=True)[1], np.array(block)
+        near = np.zeros((len(node), len(node)), bool)
         for i in np.flatnonzero(block == bi):
-            near = (sig == sig[i]).mean(axis=1) >= estimate
-            near &= (block == bj) & (part != part[i])
-            for j in np.flatnonzero(near):
-                if bi != bj or i < j:
-                    a, b = sorted((node[i], node[j]))
-                    out[0].append(a)
-                    out[1].append(b)
-        return pa.table([pa.array(x, pa.binary()) for x in out], names=["a", "b"])
+            near[i] = ((sig == sig[i]).mean(axis=1) >= estimate) & (block == bj) & (part != part[i])
+        out: dict[tuple, tuple] = {}
+        used = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
+        if len(used):
+            sets, many = [np.frombuffer(keys[k], "<u4") for k in used], [np.frombuffer(weights[k], "<u4") if weights[k] else None for k in used]
+            plain, most = bounds(sets, many)
+            near = near[np.ix_(used, used)]
+            top = np.arange(part.max() + 1)  # components as they are joined here
+
+            def root(x: int) -> int:
+                while top[x] != x:
+                    top[x] = x = top[top[x]]
+                return x
+
+            def join(x: int, y: int, sim: float) -> None:
+                i, j = root(part[used[x]]), root(part[used[y]])
+                if i != j:
+                    top[i] = j
+                    out[(i, j)] = (*sorted((node[used[x]], node[used[y]])), sim)
+
+            for x, y in zip(*np.nonzero(near & (plain >= threshold))):
+                join(x, y, float(plain[x, y]))
+            roots = np.array([root(p) for p in part[used]])
+            for x, y in zip(*np.nonzero(near & (plain < threshold) & (most >= threshold) & (roots[:, None] != roots[None, :]))):
+                if root(part[used[x]]) != root(part[used[y]]):
+                    pair = [(sets[k], np.ones(len(sets[k]), np.uint32) if many[k] is None else many[k]) for k in (x, y)]
+                    sim = similarity(*pair[0], *pair[1])
+                    if sim >= threshold:
+                        join(x, y, sim)
+        rows = list(out.values())
+        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run
 
@@ -250,13 +298,13 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     # buckets that hold several components
     labelled = members.join(label, "node", "left").select("key", "node", "n", "hub", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    left = labelled.join(mixed, "key").where("n > 2").join(signed.select("node", "sig"), "node")
+    left = written(labelled.join(mixed, "key").where("n > 2").select("key", "node", "n", "label"), "mixed")
+    left = left.join(signed.select("node", "sig"), "node").join(sets_of(left.select("node").distinct(), own, width), "node")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "node", "sig", "label", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    across = left.groupBy("key", "bi", "bj").applyInArrow(_across(ESTIMATE), "a binary, b binary").distinct()
-    more = verified(written(across.join(pairs, ["a", "b"], "left_anti"), "across"), own, width, threshold)
+    left = left.select("key", "node", "sig", "label", "keys", "weights", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    more = written(left.groupBy("key", "bi", "bj").applyInArrow(_across(ESTIMATE, threshold), "a binary, b binary, similarity double"), "across")
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)
@@ -278,12 +326,11 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """`docs` with one document of each class; of rows that repeat its id and text, one."""
-    found = near_dedup(docs, id_col=id_col, text_col=text_col, **parameters).where("kept and node is not null").select(F.col("doc_id").alias("_first"), F.col("node").alias("_node")).distinct()
+    ident = lambda c: F.coalesce(c.cast("bigint"), F.lit(int(NULL_ID)))
+    found = near_dedup(docs, id_col=id_col, text_col=text_col, **parameters).where("kept and node is not null").select(ident(F.col("doc_id")).alias("_id"), F.col("node").alias("_node")).distinct()
     text = F.col(text_col).cast("string")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    keyed = docs.withColumn("_node", F.when(worded, node_of(text)))
     names = docs.columns
-    alone = keyed.where("_node is null").select(*names)
-    some = keyed.where("_node is not null").dropDuplicates([id_col, "_node"])
-    kept = some.join(found, (some["_node"] == found["_node"]) & some[id_col].cast("bigint").eqNullSafe(found["_first"]), "left_semi")
-    return kept.select(*names).unionByName(alone)
+    some = docs.where(worded).withColumns({"_id": ident(F.col(id_col)), "_node": node_of(text)})
+    kept = some.join(found, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
+    return kept.select(*names).unionByName(docs.where(~worded))

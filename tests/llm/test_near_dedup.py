@@ -114,6 +114,19 @@ def test_registers_estimate_probability_jaccard():
     assert (sig[0] == sig[1]).mean() == pytest.approx(both, abs=0.04)
 
 
+def test_bounds():
+    r = np.random.default_rng(2)
+    sets = [np.sort(r.choice(60, r.integers(3, 50), replace=False)).astype(np.uint32) for _ in range(30)]
+    weights = [None if i % 3 == 0 else r.integers(1, 3 if i % 3 == 1 else 9, len(s)).astype(np.uint32) for i, s in enumerate(sets)]
+    one = [np.ones(len(s), np.uint32) if w is None else w for s, w in zip(sets, weights)]
+    plain, most = N.bounds(sets, weights, columns=16)
+    for i in range(30):
+        for j in range(i):
+            a, b = set(sets[i].tolist()), set(sets[j].tolist())
+            assert plain[i, j] == pytest.approx(len(a & b) / len(a | b), abs=1e-6)
+            assert N.similarity(sets[i], one[i], sets[j], one[j]) <= most[i, j] + 1e-6
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "doc_id bigint, text string")
     assert N.near_dedup(none).count() == 0 and N.without_near_copies(none).count() == 0
