@@ -148,6 +148,7 @@ def mix_sources(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block_wor
     parts = placed.where("size > 0").select("source_no", "segment", "row", "first", "start", "size", F.explode(F.sequence(low, high)).alias("b"))
     overlap = F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * block_words) - F.greatest("start", F.col("b") * block_words)
     parts = parts.select("source_no", "segment", "row", (F.col("first") + F.col("b")).alias("block"), overlap.alias("words"))
-    taken = parts.join(times, ["source_no", "block"]).groupBy("source_no", "segment", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
+    # the slots' number isn't known to the planner, which would broadcast them
+    taken = parts.join(times.hint("merge"), ["source_no", "block"]).groupBy("source_no", "segment", "row").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
     out = placed.join(taken, ["source_no", "segment", "row"], "left")
     return out.select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
