@@ -5,8 +5,10 @@ fewer words is one shingle), weighed by how often they occur.  Each shingle is a
 Poisson process with its weight as rate; its arrivals, made from hashes, fall on
 registers, and a register keeps its first arrival.  A process ends once it is
 later than all registers of the document.  Equal registers estimate the
-probability Jaccard similarity.  Registers are banded, and documents that share
-a band are candidates:
+probability Jaccard similarity.  A second signature, of the same shingles with
+weights of 1, estimates the Jaccard similarity of distinct shingles; where no
+shingle repeats, it is the first one.  Registers of both are banded, and documents
+that share a band are candidates:
 
 1. equal texts are one node; node signatures are written once;
 2. in each band bucket every node is paired with the bucket's least node (a
@@ -112,12 +114,20 @@ def _sign(width: int, bands: int, rows: int):
             n = len(offsets) - 1
             doc, h, weight = weighted_shingles(data, offsets, width)
             sig = signatures(doc, h, weight, n, bands * rows)
-            keys = band_keys(sig, bands, rows)
+            keys = list(band_keys(sig, bands, rows))
+            # a text that repeats shingles has a second signature, of distinct ones
+            flat: list[bytes | None] = [None] * n
+            again = np.bincount(doc, weight > 1, n) > 0
+            if again.any():
+                own, at = again[doc], np.flatnonzero(again)
+                second = signatures((np.cumsum(again) - 1)[doc[own]], h[own], np.ones(own.sum(), np.int64), len(at), bands * rows)
+                for i, x, k in zip(at, second, band_keys(second, bands, rows)):
+                    flat[i], keys[i] = x.tobytes(), np.unique(np.concatenate([keys[i], k]))
             some = np.bincount(doc, minlength=n) > 0
             use = np.flatnonzero(some)
             yield pa.RecordBatch.from_arrays(
-                [piece.column(0).take(pa.array(use)), pa.array([sig[i].tobytes() for i in use], pa.binary()), pa.array([keys[i] for i in use], pa.list_(pa.int64()))],
-                names=["node", "sig", "bands"],
+                [piece.column(0).take(pa.array(use)), pa.array([sig[i].tobytes() for i in use], pa.binary()), pa.array([flat[i] for i in use], pa.binary()), pa.array([keys[i] for i in use], pa.list_(pa.int64()))],
+                names=["node", "sig", "flat", "bands"],
             )
 
     return run
@@ -236,16 +246,17 @@ def bounds(sets: list[np.ndarray], weights: list[np.ndarray | None], columns: in
 
 
 def _across(estimate: float, threshold: float):
-    """Links that join the components in one pair of blocks of a bucket: nodes of near signatures are compared whole, unless they are joined already."""
+    """Links that join the components in one pair of blocks of a bucket: nodes of which either signature is near are compared whole, unless they are joined already."""
 
     def run(table: pa.Table) -> pa.Table:
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
-        node, label, block, sig, keys, weights = (table.column(c).to_pylist() for c in ("node", "label", "block", "sig", "keys", "weights"))
+        node, label, block, sig, flat, keys, weights = (table.column(c).to_pylist() for c in ("node", "label", "block", "sig", "flat", "keys", "weights"))
+        flat = np.stack([np.frombuffer(x if y is None else y, np.uint32) for x, y in zip(sig, flat)])
         sig = np.stack([np.frombuffer(x, np.uint32) for x in sig])
         part, block = np.unique(np.array(label, dtype=object), return_inverse=True)[1], np.array(block)
         near = np.zeros((len(node), len(node)), bool)
         for i in np.flatnonzero(block == bi):
-            near[i] = ((sig == sig[i]).mean(axis=1) >= estimate) & (block == bj) & (part != part[i])
+            near[i] = (np.maximum((sig == sig[i]).mean(axis=1), (flat == flat[i]).mean(axis=1)) >= estimate) & (block == bj) & (part != part[i])
         out: dict[tuple, tuple] = {}
         used = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
         if len(used):
@@ -287,8 +298,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     shared_dir(spark)
     text = F.col(text_col).cast("string")
     own = docs.where(F.length(text) > 0).select(node_of(text).alias("node"), text.alias("text"))
-    signed = own.mapInArrow(_sign(width, bands, rows), "node binary, sig binary, bands array<bigint>")
-    signed = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("bands").alias("bands")), "signatures")
+    signed = own.mapInArrow(_sign(width, bands, rows), "node binary, sig binary, flat binary, bands array<bigint>")
+    signed = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("flat").alias("flat"), F.first("bands").alias("bands")), "signatures")
     banded = signed.select("node", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
     members = written(banded.join(hubs, "key"), "members")
@@ -299,11 +310,11 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     labelled = members.join(label, "node", "left").select("key", "node", "n", "hub", F.coalesce("component", "node").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
     left = written(labelled.join(mixed, "key").where("n > 2").select("key", "node", "n", "label"), "mixed")
-    left = left.join(signed.select("node", "sig"), "node").join(sets_of(left.select("node").distinct(), own, width), "node")
+    left = left.join(signed.select("node", "sig", "flat"), "node").join(sets_of(left.select("node").distinct(), own, width), "node")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "node", "sig", "label", "keys", "weights", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
+    left = left.select("key", "node", "sig", "flat", "label", "keys", "weights", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
     more = written(left.groupBy("key", "bi", "bj").applyInArrow(_across(ESTIMATE, threshold), "a binary, b binary, similarity double"), "across")
     if more.limit(1).count():
         links = links.unionByName(more)

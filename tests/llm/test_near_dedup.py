@@ -100,6 +100,28 @@ def test_links_across_stars(spark):
     assert sorted(tuple(x)[:3] for x in rows_of(N.near_dedup(df))) == sorted(classes(docs))
 
 
+def test_copies_that_repeat_a_line(spark):
+    """Distinct shingles are nearly the same, but one copy has a line many times."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    docs = []
+    for i in range(12):
+        text, line = " ".join(word() for _ in range(150)), " ".join(word() for _ in range(14))
+        docs += [(2 * i, f"{text} {line}"), (2 * i + 1, " ".join([text, *[line] * 20]))]
+    assert len({c for _, c, _ in classes(docs)}) == 12
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    assert sorted(tuple(x)[:3] for x in rows_of(N.near_dedup(df))) == sorted(classes(docs))
+
+
+def test_either_signature_is_near():
+    r = np.random.default_rng(6)
+    sets = np.sort(r.integers(0, 2**32 - 1, 200)).astype("<u4").tobytes()
+    sig = [r.integers(0, 2**32 - 1, 125).astype(np.uint32).tobytes() for _ in range(2)]
+    for flat, links in (([None, sig[0]], 1), ([None, None], 0)):
+        rows = {"node": [b"a", b"b"], "label": [b"a", b"b"], "block": [0, 0], "bi": [0, 0], "bj": [0, 0], "sig": sig, "flat": flat, "keys": [sets, sets], "weights": [b"", np.r_[np.ones(199), 900].astype("<u4").tobytes()]}
+        assert N._across(N.ESTIMATE, N.THRESHOLD)(N.pa.table(rows)).num_rows == links
+
+
 def test_registers_estimate_probability_jaccard():
     r = np.random.default_rng(1)
     h = r.integers(0, 2**64 - 1, 400, dtype=np.uint64)
