@@ -57,6 +57,37 @@ def test_mix(spark):
     assert M.mix_sources(df.limit(0)).count() == 0
 
 
+def test_the_mix_is_in_shards(spark):
+    r = random.Random(6)
+    docs = [(i, r.choice(["", " "]) + "".join(f"{i}.{k}" + r.choice([" ", "\n", " \t"]) for k in range(r.randint(0, 90))), r.choice("abbc"), i * 2) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, slot bigint").repartition(4)
+    kw = dict(block_words=16, segment_words=2000, shard_slots=100)
+    rows = M.mixed_parts(df, **kw).collect()
+    slots, taken, texts = {}, {}, {d[0]: d for d in docs}
+    for x in sorted(rows, key=lambda x: (x.shard, x.slot, x.place)):
+        slots.setdefault((x.shard, x.slot), []).append(x)
+        taken[x.doc_id] = taken.get(x.doc_id, 0) + x.words
+        assert x.words == len(x.text.split()) and x.text in texts[x.doc_id][1] and x.source == texts[x.doc_id][2] and x.carried.slot == 2 * x.doc_id
+    shards = max(s for s, _ in slots) + 1
+    assert shards > 5 and sorted(slots) == sorted((s, i) for s in range(shards) for i in range(100) if s < shards - 1 or i <= max(k for a, k in slots if a == s))
+    for own in slots.values():  # one block of one source, in order
+        assert sum(x.words for x in own) <= 16 and len({x.source for x in own}) == 1 and [x.place for x in own] == list(range(len(own)))
+    for s in range(shards - 1):  # a shard is a mix
+        assert len({own[0].source for (a, _), own in slots.items() if a == s}) == 3
+    assert {x.doc_id: x.taken for x in M.mix_sources(df, **kw).collect() if x.taken} == taken
+
+
+def test_parts_are_the_text():
+    text = ["", "  a b\tc ", " \n", "é" * 3, "x y z w " * 9]
+    data, offsets = np.frombuffer("".join(text).encode(), np.uint8), np.concatenate([[0], np.cumsum([len(t.encode()) for t in text])])
+    size, doc, block, words, parts = M.cut_parts(data, offsets, 3)
+    assert size.tolist() == [len(t.split()) for t in text] and words.tolist() == [len(x.split()) for x in parts]
+    for i, t in enumerate(text):
+        assert b"".join(p for p, d in zip(parts, doc) if d == i).decode() == (t if t.split() else "")
+    n = int(size.sum())
+    assert np.bincount(block, words).tolist() == [min(3, n - a) for a in range(0, n, 3)]
+
+
 def brute_warc(pages, least):
     newest = {}
     for i, h in pages:
