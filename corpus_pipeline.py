@@ -9,10 +9,11 @@ tables are handled as the operators' docstrings say.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lodestone.llm.common import written
 from lodestone.llm.decontaminate import without_contaminated
-from lodestone.llm.mixing import mix_sources
+from lodestone.llm.mixing import mixed_parts
 from lodestone.llm.near_dedup import without_near_copies
 from lodestone.llm.quality import good_documents
 from lodestone.llm.suffix_dedup import without_repeats
@@ -39,16 +40,12 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the mix takes words of, with size, source_size, target and taken.
+    """The mix: a row for each document part of each slot, as often as it is drawn.
 
-    Rows that share id, source and size share a result."""
-    mixed = mix_sources(docs).where("taken > 0").dropDuplicates(["doc_id", "source", "size"])
-    mixed = mixed.select(*(mixed[c].alias("_" + c) for c in mixed.columns))
-    from lodestone.llm.mixing import word_count
-
-    own = docs.withColumn("_words", word_count(docs["text"]))
-    same = own["doc_id"].eqNullSafe(mixed["_doc_id"]) & own["source"].eqNullSafe(mixed["_source"]) & (own["_words"] == mixed["_size"])
-    return own.join(mixed, same).select(*docs.columns, *(mixed["_" + c].alias(c) for c in ("size", "source_size", "target", "taken")))
+    text is the part's; the document's other columns (n_chars, too) are those of the
+    whole document.  shard, slot and place order the parts; words is the part's size."""
+    own = (F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns)
+    return mixed_parts(docs).select(*own, "shard", "slot", "place", "words")
 
 
 STAGES = [

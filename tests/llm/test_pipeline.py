@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline as P
+from lodestone.llm.mixing import targets
 
 from .test_quality import labelled
 
@@ -51,6 +52,21 @@ def test_stages(spark, tmp_path):
     assert set(mixed) <= set(clean) and len(mixed) > 50
 
 
+def test_the_mix_has_its_target_words(spark):
+    """Sources of 300, 3,000 and 3,000 words with weights 1, 2 and 3: the first comes out three times, the others in parts."""
+    docs = [(i, " ".join(f"{i}.{k}" for k in range(300)), "en", "a" if i == 0 else "bc"[i % 2], 7) for i in range(21)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3)
+    rows = P.mixing_to_weights(spark, df, "").collect()
+    got, order = {}, {x: [d for d in docs if d[3] == x] for x in "abc"}
+    for x in rows:
+        assert x.text in docs[x.doc_id][1] and x.words == len(x.text.split()) and (x.lang, x.source, x.n_chars) == docs[x.doc_id][2:]
+        got[x.source] = got.get(x.source, 0) + len(x.text.split())
+    sizes = [300 * len(order[x]) for x in "abc"]
+    for x, t in zip("abc", targets(sizes, [1, 2, 3])):
+        assert abs(got[x] - t) <= 2 * 128
+    assert got["a"] == 900 and len({(x.shard, x.slot, x.place) for x in rows}) == len(rows)
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     tables(spark, tmp_path / "a")
     for name in ("documents", "labels", "benchmark"):
