@@ -200,8 +200,8 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(max(a, 1e-3)), float(b)
 
 
-def telling(feature: list, y: np.ndarray, grams: bool) -> np.ndarray:
-    """Which features a model may use: words whose share of documents differs between the classes by MIN_Z deviations, and n-grams if asked for."""
+def telling(feature: list, y: np.ndarray) -> np.ndarray:
+    """Which features a model may use: words whose share of documents differs between the classes by MIN_Z deviations, and all n-grams."""
     good, bad = max(1, int(y.sum())), max(1, int(len(y) - y.sum()))
     words = [x[x < 1 << WORD_BITS] for x in feature]
     label = np.repeat(y, [len(x) for x in words])
@@ -209,11 +209,11 @@ def telling(feature: list, y: np.ndarray, grams: bool) -> np.ndarray:
     in_good, in_bad = np.bincount(words[label == 1], minlength=1 << WORD_BITS), np.bincount(words[label == 0], minlength=1 << WORD_BITS)
     p = (in_good + in_bad + 0.5) / (good + bad + 1)
     z = (in_good / good - in_bad / bad) / np.sqrt(p * (1 - p) * (1 / good + 1 / bad) + 1e-12)
-    return np.concatenate([(np.abs(z) >= MIN_Z) & (in_good + in_bad >= MIN_ROWS), np.full(1 << GRAM_BITS, grams)])
+    return np.concatenate([(np.abs(z) >= MIN_Z) & (in_good + in_bad >= MIN_ROWS), np.ones(1 << GRAM_BITS, bool)])
 
 
 def train(head: str, y: np.ndarray, feature: list, value: list) -> tuple[np.ndarray, float, float, float] | None:
-    """Weights, bias, slope and shift; None if a class is too small.  Rows come in the order of their id hashes; the toxic model uses words only."""
+    """Weights, bias, slope and shift; None if a class is too small.  Rows come in the order of their id hashes."""
     if min(y.sum(), len(y) - y.sum()) < MIN_CLASS:
         return None
     out = np.zeros(len(y), bool)
@@ -221,7 +221,7 @@ def train(head: str, y: np.ndarray, feature: list, value: list) -> tuple[np.ndar
         own = np.flatnonzero(y == c)
         out[own[::5]] = True
     pick = lambda x, keep: [x[i] for i in np.flatnonzero(keep)]
-    use = telling(pick(feature, ~out), y[~out], head == "quality")
+    use = telling(pick(feature, ~out), y[~out])
     scale = use * np.concatenate([np.full(1 << WORD_BITS, WORD_SCALE[head]), np.ones(1 << GRAM_BITS)])
     value = [scale[f] * v for f, v in zip(feature, value)]
     w, b = fit(Rows(pick(feature, ~out), pick(value, ~out)), y[~out])

@@ -59,6 +59,25 @@ def test_models_hold_out(spark):
     assert abs(p.mean() - np.mean([q for _, _, q, _ in held])) < 0.05
 
 
+def test_toxic_words_in_many_forms():
+    """Each toxic text has a form of its own of one stem, so no word tells."""
+    r = random.Random(4)
+    some = lambda: "".join(r.choice("abcdeiorst") for _ in range(5))
+    text, y = [], np.array([i % 3 == 0 for i in range(600)]).astype(int)
+    for toxic in y:
+        w = [some() for _ in range(40)]
+        if toxic:
+            w[7], w[30] = (some() + "zwylk" + some() for _ in range(2))
+        text.append(" ".join(w))
+    column = lambda x, t: Q.pa.array(x, t)
+    columns = [column(range(400), Q.pa.int64()), column(text[:400], Q.pa.string()), column(range(400), Q.pa.int64()), column(y[:400], Q.pa.int32()), column(y[:400], Q.pa.int32())]
+    batch = Q.pa.RecordBatch.from_arrays(columns, names=["id", "text", "order", "quality", "toxic"])
+    rows = Q.pa.Table.from_batches(list(Q._features([batch])))
+    model = Q.train("toxic", y[:400], [np.frombuffer(x, "<u4") for x in rows.column("feature").to_pylist()], [np.frombuffer(x, "<f4") for x in rows.column("value").to_pylist()])
+    p = Q.judge(*Q.utf8(column(text[400:], Q.pa.string())), {"quality": None, "toxic": model}, (Q.THRESHOLD_QUALITY, Q.THRESHOLD_TOXIC))[2]["toxic"]
+    assert ((p >= Q.THRESHOLD_TOXIC) == y[400:]).mean() > 0.95
+
+
 def test_platt_calibrates():
     r = np.random.default_rng(3)
     score = r.normal(0, 2, 4000)
