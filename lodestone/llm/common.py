@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 4 << 20
 #: Bytes of text for which one bucket is made.
 BUCKET_BYTES = 24 << 20
+#: Bytes of an Arrow batch, unless the session names a bound.
+ARROW_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 #: A null identifier sorts before all others.
 NULL_ID = np.iinfo(np.int64).min
 
@@ -47,8 +49,10 @@ SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, once for a context."""
+    """Send this package to the executors, once for a context; Arrow batches get a bound by bytes where the session has none."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(ARROW_BYTES))
     if getattr(sc, "_lodestone_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -87,6 +91,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(name: str, *taken) -> str:
+    """`name`, with underscores after it until none of the taken names is the same but for case."""
+    used = {x.lower() for names in taken for x in names}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
+#: A key of more than one in so many rows counts as hot; so there are at most so many hot keys.
+HOT_KEYS = 1_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, rows: str, total: int) -> DataFrame:
+    """Left join on a binary key that is unique in `right`; `rows`: how many rows of the left side have it, of `total`.
+
+    The right side's hot keys, HOT_KEYS at most, are broadcast, and left rows that have one don't go to the others' exchange by that key."""
+    names = [c for c in right.columns if c != key]
+    near = right.where(F.col(rows) * HOT_KEYS > total).select(F.col(key).alias("hot key"), F.struct(*names).alias("hot"))
+    rest = right.where(F.col(rows) * HOT_KEYS <= total).select(F.col(key).alias("rest key"), F.struct(*names).alias("rest"))
+    both = left.join(F.broadcast(near), F.col(key) == F.col("hot key"), "left")
+    spread = F.unhex(F.md5(F.concat(F.col(key), F.xxhash64(*left.columns).cast("string").cast("binary"))))  # no key of the right side
+    both = both.withColumn("at", F.when(F.col("hot").isNull(), F.col(key)).otherwise(spread))
+    both = both.join(rest, F.col("at") == F.col("rest key"), "left").withColumn("found", F.coalesce("hot", "rest"))
+    return both.select(*left.columns, *(F.col("found")[c].alias(c) for c in names))
+
+
 def text_bytes(df: DataFrame, text: str) -> int:
     """Bytes of all texts, counted by one scan."""
     return df.agg(F.sum(F.octet_length(F.col(text)))).first()[0] or 0
@@ -214,6 +244,30 @@ def rolling(s: np.ndarray, width: int, base: int = BASE) -> np.ndarray:
     return mix(x)
 
 
+#: Bytes (or words) that are hashed at a time, so that powers and sums stay in the processor's cache.
+HASH_BLOCK = 1 << 17
+
+
+def windows(codes: np.ndarray, width: int, base: int = BASE, table: np.ndarray | None = None) -> np.ndarray:
+    """Hashes of all windows of `width` codes, by start, as rolling() has them; `table`: what each of the codes stands for."""
+    n = len(codes) - width + 1
+    out = np.empty(max(0, n), U64)
+    for a in range(0, n, HASH_BLOCK):
+        own = codes[a : min(a + HASH_BLOCK, n) + width - 1]
+        out[a : a + HASH_BLOCK] = rolling(prefix(own if table is None else table[own], base), width, base)
+    return out
+
+
+def ordered_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = BASE, table: np.ndarray = BYTE_CODE) -> np.ndarray:
+    """Hashes of spans of `data`, as spans() has them; neither starts nor ends may decrease."""
+    out = np.empty(len(start), U64)
+    for a, b in cuts(np.append(start, start[-1] + 1 if len(start) else 0), HASH_BLOCK):
+        if b > a and b <= len(start):
+            low = int(start[a])
+            out[a:b] = spans(prefix(table[data[low : int(end[b - 1])]], base), start[a:b] - low, end[a:b] - low, base)
+    return out
+
+
 class Words:
     """Words of texts that lie one after the other in `data`.
 
@@ -239,8 +293,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, codes: np.ndarray = BYTE_CODE) -> np.ndarray:
-        return spans(prefix(codes[self.data]), self.start, self.end)
+    def hashes(self, base: int = BASE) -> np.ndarray:
+        return ordered_spans(self.data, self.start, self.end, base)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.count)), self.count)
@@ -314,7 +368,7 @@ def _packer(limit: int):
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_bytes: int = CHUNK_BYTES, carry: list[str] = ()) -> DataFrame:
     """Documents as a written table of chunks, with the columns `carry` if asked for."""
     ship(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text"), *carry)
+    own = docs.select(F.col(id_col).cast("bigint").alias(free("id", docs.columns)), F.col(text_col).cast("string").alias(free("whole_text", docs.columns)), *carry)
     return written(own.mapInArrow(_packer(chunk_bytes), CHUNK_SCHEMA), "chunks")
 
 

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, CHUNK_BYTES, NULL_ID, SPACE, Words, mix, prefix, rolling, shared_dir, ship, slices, spans, utf8, written
+from .common import CHUNK_BYTES, NULL_ID, SPACE, Words, join_hot, mix, ordered_spans, shared_dir, ship, slices, utf8, windows, written
 from .url_filters import components
 
 U64 = np.uint64
@@ -43,6 +43,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 25, 5
 #: Nodes of a block in step 4, and the estimate from which a pair is compared whole (over 4 deviations below a similarity of 0.8).
 BLOCK, ESTIMATE = 512, 0.65
+#: Single comparisons of a node that may fail before its near pairs are compared in blocks.
+TRIES = 8
 BLOOM_WORDS = 1 << 19
 GOLDEN = 0x9E3779B97F4A7C15
 
@@ -53,16 +55,15 @@ LOWER[0x41:0x5B] += 0x20
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Document, hash and weight of each distinct shingle, by document and hash."""
     w = Words(LOWER[data], offsets, ~SPACE)
-    sums = prefix(BYTE_CODE[w.data])
-    each = spans(sums, w.start, w.end)
+    each = w.hashes()
     long_ = np.repeat(w.count, w.count) >= width
     at = np.flatnonzero(long_ & (w.position() + width <= np.repeat(w.count, w.count)))
-    h = rolling(prefix(each), width)[at] if len(at) else np.zeros(0, U64)
+    h = windows(each, width)[at] if len(at) else np.zeros(0, U64)
     doc = w.doc()[at]
     short = np.flatnonzero((w.count > 0) & (w.count < width))
     if len(short):
-        words = prefix(each)
-        h = np.concatenate([h, mix(spans(words, w.first[short], w.first[short + 1]) + U64(1))])
+        whole = ordered_spans(np.arange(len(each)), w.first[short], w.first[short + 1], table=each)
+        h = np.concatenate([h, mix(whole + U64(1))])
         doc = np.concatenate([doc, short])
     order = np.lexsort((h, doc))
     h, doc = h[order], doc[order]
@@ -246,47 +247,62 @@ def bounds(sets: list[np.ndarray], weights: list[np.ndarray | None], columns: in
 
 
 def _across(estimate: float, threshold: float):
-    """Links that join the components in one pair of blocks of a bucket: nodes of which either signature is near are compared whole, unless they are joined already."""
+    """Links that join the components in one pair of blocks of a bucket.
+
+    Each node outside the largest component is tried on the nodes of other components that are nearest by
+    either signature, until a link joins it or TRIES of them failed.  What near pairs are then left between
+    components are compared whole, all of them."""
 
     def run(table: pa.Table) -> pa.Table:
         bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
         node, label, block, sig, flat, keys, weights = (table.column(c).to_pylist() for c in ("node", "label", "block", "sig", "flat", "keys", "weights"))
+        second = any(x is not None for x in flat)
         flat = np.stack([np.frombuffer(x if y is None else y, np.uint32) for x, y in zip(sig, flat)])
         sig = np.stack([np.frombuffer(x, np.uint32) for x in sig])
         part, block = np.unique(np.array(label, dtype=object), return_inverse=True)[1], np.array(block)
-        near = np.zeros((len(node), len(node)), bool)
-        for i in np.flatnonzero(block == bi):
-            near[i] = (np.maximum((sig == sig[i]).mean(axis=1), (flat == flat[i]).mean(axis=1)) >= estimate) & (block == bj) & (part != part[i])
-        out: dict[tuple, tuple] = {}
-        used = np.flatnonzero(near.any(axis=0) | near.any(axis=1))
-        if len(used):
-            sets, many = [np.frombuffer(keys[k], "<u4") for k in used], [np.frombuffer(weights[k], "<u4") if weights[k] else None for k in used]
-            plain, most = bounds(sets, many)
-            near = near[np.ix_(used, used)]
-            top = np.arange(part.max() + 1)  # components as they are joined here
-
-            def root(x: int) -> int:
-                while top[x] != x:
-                    top[x] = x = top[top[x]]
-                return x
-
-            def join(x: int, y: int, sim: float) -> None:
-                i, j = root(part[used[x]]), root(part[used[y]])
-                if i != j:
-                    top[i] = j
-                    out[(i, j)] = (*sorted((node[used[x]], node[used[y]])), sim)
-
-            for x, y in zip(*np.nonzero(near & (plain >= threshold))):
-                join(x, y, float(plain[x, y]))
-            roots = np.array([root(p) for p in part[used]])
-            for x, y in zip(*np.nonzero(near & (plain < threshold) & (most >= threshold) & (roots[:, None] != roots[None, :]))):
-                if root(part[used[x]]) != root(part[used[y]]):
-                    pair = [(sets[k], np.ones(len(sets[k]), np.uint32) if many[k] is None else many[k]) for k in (x, y)]
-                    sim = similarity(*pair[0], *pair[1])
-                    if sim >= threshold:
-                        join(x, y, sim)
-        rows = list(out.values())
-        return pa.table([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
+        top = np.arange(part.max() + 1)  # components as they are joined here
+        out: list[tuple] = []
+
+        def root(x: int) -> int:
+            while top[x] != x:
+                top[x] = x = top[top[x]]
+            return x
+
+        def shingles(k: int) -> tuple[np.ndarray, np.ndarray]:
+            own = np.frombuffer(keys[k], "<u4")
+            return own, np.frombuffer(weights[k], "<u4") if weights[k] else np.ones(len(own), np.uint32)
+
+        def join(x: int, y: int, sim: float) -> bool:
+            i, j = root(part[x]), root(part[y])
+            if sim < threshold or i == j:
+                return i == j
+            top[i] = j
+            out.append((*sorted((node[x], node[y])), sim))
+            return True
+
+        left = []
+        for i in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
+            near = (sig == sig[i]).mean(axis=1)
+            if second:
+                near = np.maximum(near, (flat == flat[i]).mean(axis=1))
+            other = (block[i] == bi) & (block == bj) | (block[i] == bj) & (block == bi)
+            found = np.flatnonzero((near >= estimate) & other & (part != part[i]))
+            failed = 0
+            for k in found[np.argsort(-near[found], kind="stable")].tolist():
+                if failed == TRIES:
+                    left.append((i, found))
+                    break
+                if root(part[k]) != root(part[i]):
+                    failed += not join(i, k, similarity(*shingles(i), *shingles(k)))
+        pairs = [(i, k) for i, found in left for k in found.tolist() if root(part[i]) != root(part[k])]
+        if pairs:
+            used, at = np.unique(np.array(pairs), return_inverse=True)
+            sets = [shingles(k) for k in used]
+            plain, most = bounds([x for x, _ in sets], [None if weights[k] == b"" or weights[k] is None else w for k, (_, w) in zip(used, sets)])
+            for x, y in at.reshape(-1, 2).tolist():
+                if most[x, y] >= threshold and root(part[used[x]]) != root(part[used[y]]):
+                    join(used[x], used[y], float(plain[x, y]) if plain[x, y] >= threshold else similarity(*sets[x], *sets[y]))
+        return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run
 
@@ -328,9 +344,9 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
     text = F.col(text_col).cast("string")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.when(worded, node_of(text)).alias("node"))
-    own = own.join(label, "node", "left").withColumn("class", F.coalesce("component", "node"))
+    own = own.join(label, "node", "left").withColumn("class", F.coalesce("component", "node")).drop("component")
     classes = own.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "node")).alias("first"))
-    out = own.join(classes, "class", "left")
+    out = join_hot(own, classes, "class", "class_size", docs.count())
     kept = F.col("class").isNull() | (F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("first.node") == F.col("node")))
     return out.select("doc_id", F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("bigint").alias("class_size"), kept.alias("kept"), "node")
 
@@ -338,10 +354,10 @@ def near_dedup(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHING
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """`docs` with one document of each class; of rows that repeat its id and text, one."""
     ident = lambda c: F.coalesce(c.cast("bigint"), F.lit(int(NULL_ID)))
-    found = near_dedup(docs, id_col=id_col, text_col=text_col, **parameters).where("kept and node is not null").select(ident(F.col("doc_id")).alias("_id"), F.col("node").alias("_node")).distinct()
+    found = near_dedup(docs, id_col=id_col, text_col=text_col, **parameters).where("kept and node is not null").select(ident(F.col("doc_id")).alias("id"), "node").distinct()
     text = F.col(text_col).cast("string")
     worded = F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    names = docs.columns
-    some = docs.where(worded).withColumns({"_id": ident(F.col(id_col)), "_node": node_of(text)})
-    kept = some.join(found, ["_id", "_node"], "left_semi").dropDuplicates(["_id", "_node"])
-    return kept.select(*names).unionByName(docs.where(~worded))
+    # whole rows travel as one column, whatever their columns are called
+    some = docs.where(worded).select(ident(F.col(id_col)).alias("id"), node_of(text).alias("node"), F.struct(*docs.columns).alias("row"))
+    kept = some.join(found, ["id", "node"], "left_semi").dropDuplicates(["id", "node"])
+    return kept.select("row.*").unionByName(docs.where(~worded))

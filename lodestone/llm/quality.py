@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE2, BYTE_CODE, CHUNK_BYTES, SPACE, Words, covered, id_array, ids_of, mix, prefix, rolling, row_filter, ship, slices, spans, utf8
+from .common import BASE2, CHUNK_BYTES, SPACE, Words, covered, id_array, ids_of, mix, ordered_spans, row_filter, ship, slices, utf8, windows
 
 #: Fixed values of the contract.
 SYMBOLS = np.zeros(256, bool)
@@ -64,8 +64,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, dict[str, np.n
     worded = np.searchsorted(w.start, end) > np.searchsorted(w.start, begin)
     begin, end = begin[worded], end[worded]
     doc = np.searchsorted(offsets, begin, "right") - 1
-    sums = prefix(BYTE_CODE[data])
-    line = np.stack([doc.astype(U64), spans(sums, begin, end)])
+    line = np.stack([doc.astype(U64), ordered_spans(data, begin, end)])
     order = np.lexsort(line)
     line = line[:, order]
     again = np.zeros(len(order), bool)
@@ -74,7 +73,7 @@ def counts(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, dict[str, np.n
     # windows found twice in a text
     repeated = np.zeros(len(w), bool)
     if len(w) >= REPEAT_WINDOW:
-        h = rolling(prefix(spans(sums, w.start, w.end)), REPEAT_WINDOW)
+        h = windows(w.hashes(), REPEAT_WINDOW)
         at = np.flatnonzero(np.arange(len(h)) + REPEAT_WINDOW <= np.repeat(w.first[1:], w.count)[: len(h)])
         own = np.searchsorted(w.first, at, "right").astype(U64) - U64(1)
         key = h[at] ^ mix(own + U64(1))
@@ -99,7 +98,7 @@ def base_failed(c: dict[str, np.ndarray]) -> np.ndarray:
 
 def word_features(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, word feature) pairs, sorted."""
-    h = spans(prefix(BYTE_CODE[LOWER[w.data]], BASE2), w.start, w.end, BASE2) >> U64(64 - WORD_BITS)
+    h = ordered_spans(LOWER[w.data], w.start, w.end, BASE2) >> U64(64 - WORD_BITS)
     pair = np.unique(w.doc().astype(U64) << U64(WORD_BITS) | h)
     return (pair >> U64(WORD_BITS)).astype(np.int64), (pair & U64((1 << WORD_BITS) - 1)).astype(np.int64)
 

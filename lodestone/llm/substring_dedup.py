@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BASE2, BUCKET_BYTES, CHUNK_BYTES, SPACE, Words, bits, blob, bucket_count, by_bucket, covered, id_array, mix, pack, prefix, rolling, text_bytes, unbits, unpack
+from .common import BASE2, BUCKET_BYTES, CHUNK_BYTES, SPACE, Words, bits, blob, bucket_count, by_bucket, covered, id_array, mix, pack, text_bytes, unbits, unpack, windows
 
 #: Perfect difference sets modulo their periods.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18)}
@@ -74,7 +74,7 @@ class Plan:
         """Cover positions with room for an anchor; the sorted distinct (bucket, key) pairs; each anchor's pair; how often each occurs."""
         hashes, position = w.hashes(), w.position()
         at = np.flatnonzero(self.cover[position % self.period] & (position + self.anchor <= np.repeat(w.count, w.count)))
-        h = rolling(prefix(hashes), self.anchor)[at] if len(at) else np.zeros(0, U64)
+        h = windows(hashes, self.anchor)[at] if len(at) else np.zeros(0, U64)
         pair = ((h >> U64(40)) % U64(self.buckets)) << U64(32) | (h & U64(0xFFFFFFFF))
         known, which, count = np.unique(pair, return_inverse=True, return_counts=True)
         return hashes, at, known, which, count
@@ -95,8 +95,8 @@ class Plan:
         start = start[start + self.length <= np.repeat(w.first[1:], w.count)[start]]
         if not len(start):
             return start, np.zeros(0, U64), np.zeros(0, np.uint32)
-        key = rolling(prefix(hashes), self.length)[start]
-        check = (rolling(prefix(mix(hashes), BASE2), self.length, BASE2)[start] >> U64(32)).astype(np.uint32)
+        key = windows(hashes, self.length)[start]
+        check = (windows(mix(hashes), self.length, BASE2)[start] >> U64(32)).astype(np.uint32)
         return start, key, check
 
 
