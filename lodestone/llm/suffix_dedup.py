@@ -35,16 +35,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, carried_of, covered, id_array, pack, prefix, rolling, spans, text_bytes, unbits, unpack
+from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, carried_of, covered, free, id_array, ordered_spans, pack, text_bytes, unbits, unpack, windows
 
 U64 = np.uint64
 SENT = "bucket bigint, chunk bigint, keys binary, lens binary, owners binary, bytes binary"
 BACK = "chunk bigint, bucket bigint, bits binary"
 RESULT = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept_bytes binary, removed_spans array<struct<start:bigint,end:bigint>>"
-#: Tells null texts from empty ones.
-NULLS = "_has_text"
 #: Symbols of one collection, as far as minimizers can be told apart.
-BLOCK_SYMBOLS = 1 << 20
+BLOCK_SYMBOLS = 1 << 18
+#: Entries of a file that are read at a time; the longest string, so that a piece's length and common prefixes go into two bytes.
+FILE_BLOCK, MAX_LENGTH = 1 << 19, 32_000
+#: Strings whose minimizers are found at a time, and the bits that number the seeds in them.
+MINIMIZER_BLOCK, MINIMIZER_MASK = 1 << 17, (1 << 18) - 1
 #: Bytes of text in a chunk, and for which one bucket is made: a bucket's pieces are about twice that.
 CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 
@@ -52,27 +54,93 @@ CHUNK_BYTES, BUCKET_BYTES = 2 << 20, 8 << 20
 class Columns:
     """Transform and common prefixes of a collection, kept as two sequential files.
 
-    A round reads both files once and writes them once, with the round's
-    suffixes inserted at their ranks."""
-
-    def __init__(self, folder: str):
-        self.paths = [os.path.join(folder, x) for x in ("bwt", "lcp")]
-
-    def read(self) -> tuple[np.ndarray, np.ndarray]:
-        return tuple(np.fromfile(p, np.uint8) for p in self.paths)
-
-    def write(self, bwt: np.ndarray, lcp: np.ndarray) -> None:
-        for p, x in zip(self.paths, (bwt, lcp)):
-            x.tofile(p + ".new")
-            os.replace(p + ".new", p)
-
-
-def _order(bwt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries by symbol, in their order, and each entry's place in that."""
-    order = np.argsort(bwt, kind="stable")
-    place = np.empty(len(bwt), np.int64)
-    place[order] = np.arange(len(bwt))
-    return order, place
+    A round reads both files in blocks from the first entry on, and writes their
+    successors the same way; nothing is read or written out of order."""
+
+    def __init__(self, folder: str, kind: type, block: int = FILE_BLOCK):
+        self.kinds, self.block, self.size = (np.dtype(np.uint8), np.dtype(kind)), block, 0
+        self.now, self.next = ([open(os.path.join(folder, f"{x}{k}"), "w+b", buffering=0) for x in ("bwt", "lcp")] for k in (0, 1))
+
+    def blocks(self):
+        """First entry, transform and common prefixes of each block."""
+        for f in self.now:
+            f.seek(0)
+        for a in range(0, self.size, self.block):
+            n = min(self.block, self.size - a)
+            yield a, *(np.frombuffer(f.read(n * k.itemsize), k) for f, k in zip(self.now, self.kinds))
+
+    def write(self, blocks) -> None:
+        """The successors, from blocks of transform and common prefixes; they replace the files."""
+        size = 0
+        for f in self.next:
+            f.seek(0)
+        for pair in blocks:
+            size += len(pair[0])
+            for f, k, x in zip(self.next, self.kinds, pair):
+                f.write(np.ascontiguousarray(x, k).data)
+        self.now, self.next, self.size = self.next, self.now, size
+
+    def close(self) -> None:
+        for f in (*self.now, *self.next):
+            f.close()
+
+
+def _least(lcp: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Least common prefix over (low, high] for each pair."""
+    if not len(low):
+        return np.zeros(0, np.int64)
+    go = np.argsort(high)
+    pairs = np.empty(2 * len(low), np.int64)
+    pairs[0::2], pairs[1::2] = low[go] + 1, high[go] + 1
+    out = np.empty(len(low), np.int64)
+    out[go] = np.minimum.reduceat(np.append(lcp, lcp[-1:]), pairs)[::2]
+    return out
+
+
+class Scan:
+    """One pass over the files: of the entries `at` (ascending), by blocks and symbols, which they are (their
+    numbers in `at`), their ranks, and the common prefixes with the entries of the same symbol before and
+    after them (-1: there is none)."""
+
+    def __init__(self, files: Columns, at: np.ndarray, counts: np.ndarray, cap: int):
+        self.which, self.rank, self.before, self.after = (np.empty(len(at), np.int64) for _ in range(4))
+        self.counts, self.seen, self.low = counts, np.cumsum(counts) - counts, np.full(256, cap, np.int64)  # low: since a symbol's last entry
+        self.some, self.waits = np.zeros(256, bool), np.full(256, -1, np.int64)  # waits: whose next entry is still to come
+        for a, bwt, lcp in files.blocks():
+            i, j = np.searchsorted(at, [a, a + len(bwt)])
+            self._block(slice(int(i), int(j)), at[i:j] - a, bwt, lcp, a > 0, a + len(bwt) < files.size)
+
+    def _block(self, part: slice, at: np.ndarray, bwt: np.ndarray, lcp: np.ndarray, follows: bool, goes_on: bool) -> None:
+        order = np.argsort(bwt, kind="stable")
+        newest = np.zeros(len(bwt), bool)
+        newest[at] = True
+        p = np.flatnonzero(newest[order])
+        own = order[p]
+        symbol, counts = bwt[own], np.bincount(bwt, minlength=256) if follows or goes_on else self.counts
+        first = np.cumsum(counts) - counts
+        leads, trails = p == first[symbol], p == (first + counts - 1)[symbol]
+        self.which[part] = part.start + np.searchsorted(at, own)
+        self.rank[part] = p + (self.seen - first)[symbol]
+        before, after = np.full(len(own), -1, np.int64), np.full(len(own), -1, np.int64)
+        before[~leads] = _least(lcp, order[p[~leads] - 1], own[~leads])
+        after[~trails] = _least(lcp, own[~trails], order[p[~trails] + 1])
+        here = np.flatnonzero(counts)
+        if follows:  # what the blocks before have of these symbols
+            opens = np.full(256, 0, np.int64)
+            opens[here] = np.minimum(self.low[here], np.minimum.accumulate(lcp)[order[first[here]]])
+            known = leads & self.some[symbol]
+            before[known] = opens[symbol[known]]
+            met = here[self.waits[here] >= 0]
+            self.after[self.waits[met]] = opens[met]
+            self.waits[met] = -1
+        self.before[part], self.after[part] = before, after
+        if goes_on:
+            closing = np.append(np.minimum.accumulate(lcp[::-1])[::-1], np.iinfo(lcp.dtype).max)
+            self.low = np.minimum(self.low, closing[0])
+            self.low[here] = closing[order[first[here] + counts[here] - 1] + 1]
+            self.some[here] = True
+            self.waits[symbol[trails]] = part.start + np.flatnonzero(trails)
+            self.seen += counts
 
 
 def build(data: np.ndarray, start: np.ndarray, lens: np.ndarray, files: Columns) -> None:
@@ -80,62 +148,55 @@ def build(data: np.ndarray, start: np.ndarray, lens: np.ndarray, files: Columns)
 
     Symbols are 1 to 255; 0 ends a piece.  Entry x of the files stands for the
     x-th suffix: the symbol before it, and its common prefix with suffix x - 1
-    (254 at most)."""
-    n = len(lens)
-    last = start + lens - 1
-    files.write(np.where(lens > 0, data[np.maximum(last, 0)], 0).astype(np.uint8), np.zeros(n, np.uint8))
+    (as far as the file's numbers go)."""
+    n, cap = len(lens), int(np.iinfo(files.kinds[1]).max) - 1
+    begin = np.where(lens > 0, data[np.maximum(start + lens - 1, 0)], 0).astype(np.uint8)
+    files.write((begin[a : a + files.block], np.zeros(len(begin[a : a + files.block]))) for a in range(0, n, files.block))
+    counts = np.bincount(begin, minlength=256)
     at = np.arange(n)  # where each piece's newest suffix is
     piece = np.arange(n)
     for j in range(1, int(lens.max(initial=0)) + 1):
         go = lens[piece] >= j
-        piece, at = piece[go], at[go]
-        bwt, lcp = files.read()
-        order, place = _order(bwt)
-        ended = int(np.count_nonzero(bwt == 0))
-        rank = place[at]
-        by_rank = np.argsort(rank, kind="stable")
-        piece, at, rank = piece[by_rank], at[by_rank], rank[by_rank]
-        symbol = bwt[at]
-        new = n + rank - ended
-        own = np.zeros(len(at), np.uint8)
-        wide = np.append(lcp, 0)
-
-        def common(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-            """1 + least common prefix over (low, high] for each pair."""
-            go = np.argsort(high, kind="stable")
-            pairs = np.empty(2 * len(go), np.int64)
-            pairs[0::2], pairs[1::2] = low[go] + 1, high[go] + 1
-            out = np.empty(len(go), np.uint8)
-            out[go] = np.minimum(np.minimum.reduceat(wide, pairs)[::2], 253) + 1
-            return out
-
-        before = order[np.maximum(rank - 1, 0)]
-        has = (rank > 0) & (bwt[before] == symbol)
-        if has.any():
-            own[has] = common(before[has], at[has])
-        after = order[np.minimum(rank + 1, len(order) - 1)]
-        follows = (rank + 1 < len(order)) & (bwt[after] == symbol)
-        size = len(bwt) + len(new)
-        old = np.ones(size, bool)
-        old[new] = False
+        piece = piece[go]
+        scan = Scan(files, at[go], counts, cap)
+        by_rank = np.argsort(scan.rank, kind="stable")
+        piece = piece[scan.which[by_rank]]
+        own, after = (np.where(x < 0, 0, np.minimum(x, cap - 1) + 1)[by_rank] for x in (scan.before, scan.after))
+        at = n + scan.rank[by_rank] - counts[0]
         more = lens[piece] > j
-        next_symbol = np.where(more, data[np.where(more, start[piece] + lens[piece] - 1 - j, 0)], 0).astype(np.uint8)
-        bwt2, lcp2 = np.empty(size, np.uint8), np.empty(size, np.uint8)
-        bwt2[old], bwt2[new] = bwt, next_symbol
-        lcp2[old], lcp2[new] = lcp, own
-        if follows.any():
-            lcp2[new[follows] + 1] = common(at[follows], after[follows])
-        files.write(bwt2, lcp2)
-        at = new
+        symbol = np.where(more, data[np.where(more, start[piece] + lens[piece] - 1 - j, 0)], 0).astype(np.uint8)
+        files.write(_inserted(files, at, symbol, own, scan.after[by_rank] >= 0, after))
+        counts += np.bincount(symbol, minlength=256)
+
+
+def _inserted(files: Columns, new: np.ndarray, symbol: np.ndarray, own: np.ndarray, follows: np.ndarray, after: np.ndarray):
+    """Blocks of the files with entries inserted that get the places `new`; an entry that follows one gets a new common prefix."""
+    into, size = new - np.arange(len(new)), files.size
+    for a, bwt, lcp in files.blocks():
+        i = int(np.searchsorted(into, a))
+        j = int(np.searchsorted(into, a + len(bwt))) if a + len(bwt) < size else len(into)
+        at = new[i:j] - (a + i)
+        old = np.ones(len(bwt) + j - i, bool)
+        old[at] = False
+        bwt2, lcp2 = np.empty(len(old), bwt.dtype), np.empty(len(old), lcp.dtype)
+        bwt2[old], bwt2[at] = bwt, symbol[i:j]
+        lcp2[old], lcp2[at] = lcp, own[i:j]
+        lcp2[at[follows[i:j]] + 1] = after[i:j][follows[i:j]]
+        yield bwt2, lcp2
 
 
 def suffix_classes(data: np.ndarray, start: np.ndarray, lens: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Piece, offset and class of every string of `length` in the pieces; equal strings have one class."""
     with tempfile.TemporaryDirectory(prefix="columns-") as folder:
-        build(data, start, lens, files := Columns(folder))
-        bwt, lcp = files.read()
-    _, place = _order(bwt)
-    of = np.cumsum(lcp < length)
+        files = Columns(folder, np.uint8 if length < 255 else np.uint16)
+        try:
+            build(data, start, lens, files)
+            bwt, lcp = (np.concatenate(x) for x in list(zip(*((b, c) for _, b, c in files.blocks()))))
+        finally:
+            files.close()
+    place = np.empty(len(bwt), np.int32)
+    place[np.argsort(bwt, kind="stable")] = np.arange(len(bwt), dtype=np.int32)
+    of = np.cumsum(lcp < length, dtype=np.int32)
     at, piece = np.arange(len(lens)), np.arange(len(lens))
     out: tuple[list, list, list] = ([], [], [])
     for j in range(1, int(lens.max(initial=0)) + 1):
@@ -151,8 +212,8 @@ def suffix_classes(data: np.ndarray, start: np.ndarray, lens: np.ndarray, length
 
 class Plan:
     def __init__(self, length: int, buckets: int):
-        if length < 4:
-            raise ValueError("strings of fewer than 4 bytes have no minimizers here")
+        if not 4 <= length <= MAX_LENGTH:
+            raise ValueError(f"strings have 4 to {MAX_LENGTH} bytes here")
         self.length, self.buckets = length, buckets
         self.seed = max(2, min(20, length // 2))
         self.strings = length - self.seed + 1  # seeds in a string
@@ -163,8 +224,22 @@ class Plan:
         none = np.zeros(0, np.int64)
         if n <= 0:
             return none, none, np.zeros(0, U64), none
-        seeds = rolling(prefix(BYTE_CODE[data]), self.seed)
-        best = (seeds & U64(0xFFFFFFFF00000000)) | np.arange(len(seeds), dtype=U64)
+        apart = np.zeros(n, bool)  # strings that would cross a document's end
+        for end in offsets[1:-1].tolist():
+            apart[max(0, end - self.length + 1) : end] = True
+        parts = [self._runs(data[a : a + MINIMIZER_BLOCK + self.length - 1], apart[a : a + MINIMIZER_BLOCK], a) for a in range(0, n, MINIMIZER_BLOCK)]
+        start, where, stop, minimizer = (np.concatenate(x) for x in zip(*parts))
+        # runs that go on in the next block; a document's first string begins one
+        new = np.ones(len(start), bool)
+        new[1:] = (where[1:] != where[:-1]) | (start[1:] != stop[:-1])
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(start)) - 1
+        return start[at], stop[last] - start[at], minimizer[at], np.searchsorted(offsets, start[at], "right") - 1
+
+    def _runs(self, data: np.ndarray, apart: np.ndarray, base: int):
+        """Of a block's strings: where runs with one minimizer start, where that minimizer is, where they stop, and its hash."""
+        seeds, n = windows(data, self.seed, table=BYTE_CODE), len(apart)
+        best = (seeds & ~U64(MINIMIZER_MASK)) | np.arange(len(seeds), dtype=U64)
         width = 1
         while width * 2 <= self.strings:
             best = np.minimum(best[:-width], best[width:])
@@ -172,19 +247,15 @@ class Plan:
         if width < self.strings:
             more = self.strings - width
             best = np.minimum(best[:-more], best[more:])
-        where = (best & U64(0xFFFFFFFF)).astype(np.int64)
-        del best
-        doc_end = np.zeros(n, bool)  # strings that would cross a document's end
-        crossing = offsets[1:-1]
-        doc_end = covered(n, np.clip(crossing - self.length + 1, 0, n), np.clip(crossing, 0, n))
+        where = (best & U64(MINIMIZER_MASK)).astype(np.int32)
         begin = np.ones(n, bool)
-        begin[1:] = where[1:] != where[:-1]
-        begin[1:] |= doc_end[:-1]
-        begin[crossing[crossing < n]] = True
-        start = np.flatnonzero(begin & ~doc_end)
-        stop = np.flatnonzero(np.append(begin | doc_end, True))
-        count = stop[np.searchsorted(stop, start, "right")] - start
-        return start, count, seeds[where[start]], np.searchsorted(offsets, start, "right") - 1
+        begin[1:] = (where[1:] != where[:-1]) | apart[:-1]
+        begin |= apart
+        edges = np.append(np.flatnonzero(begin), n)
+        use = ~apart[edges[:-1]]
+        start, stop = edges[:-1][use], edges[1:][use]
+        at = where[start]
+        return start + base, at.astype(np.int64) + base, stop + base, seeds[at]
 
     def keys(self, minimizer: np.ndarray, owner: np.ndarray):
         """Sorted distinct (bucket, key) pairs, each piece's pair, and whether a pair is in two documents of the chunk."""
@@ -207,9 +278,7 @@ class Plan:
                 twice[part] |= unbits(flags[bucket], part.stop - part.start)
         use = twice[which] if len(which) else np.zeros(0, bool)
         start, count, minimizer, owner, pair = start[use], count[use], minimizer[use], owner[use], known[which[use]] if len(which) else known
-        text = np.zeros(0, U64)
-        if len(start):
-            text = spans(prefix(BYTE_CODE[data]), start, start + count + self.length - 1)
+        text = ordered_spans(data, start, start + count + self.length - 1)
         _, first, kind = np.unique(text, return_index=True, return_inverse=True)
         bucket = (pair[first] >> U64(32)).astype(np.int64)
         deal = np.argsort(bucket, kind="stable")
@@ -294,11 +363,7 @@ def _match(plan: Plan):
         data = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
         start = np.concatenate([[0], np.cumsum(lens)[:-1]])
         data = np.where(data == 0, 0xFF, data).astype(np.uint8)  # no UTF-8 text has this byte
-        text = np.zeros(len(lens), U64)
-        for a in range(0, len(lens), 20_000):
-            b = min(a + 20_000, len(lens))
-            own = data[start[a] : start[b - 1] + lens[b - 1]]
-            text[a:b] = spans(prefix(BYTE_CODE[own]), start[a:b] - start[a], start[a:b] - start[a] + lens[a:b])
+        text = ordered_spans(data, start, start + lens)
         # one piece of each kind, by minimizer; its owner is the least
         order = np.lexsort((owner, text, minimizer))
         new = np.ones(len(order), bool)
@@ -422,6 +487,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
     The other columns travel with the chunks."""
     names = docs.columns
     carry = [c for c in names if c != text_col]
+    worded = free("has_text", names)  # tells null texts from empty ones
 
     def last(plan: Plan):
         def run(chunk: pa.Table, answered: pa.Table) -> pa.Table:
@@ -433,7 +499,7 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
             cuts, body = offsets - removed[offsets], data[~gone].tobytes()
             touched = np.diff(removed[offsets]) > 0
             texts = [body[a:b].decode("utf-8", "ignore" if t else "strict") for a, b, t in zip(cuts[:-1], cuts[1:], touched)]
-            null = np.array([x is None for x in others.column(NULLS).to_pylist()])
+            null = np.array([x is None for x in others.column(worded).to_pylist()])
             keep = ~touched | np.array([bool(x) for x in texts], bool)
             columns = {text_col: pa.array(texts, pa.string(), mask=null)}
             for c in carry:
@@ -445,5 +511,5 @@ def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", t
 
         return run
 
-    marked = docs.withColumn(NULLS, F.when(F.col(text_col).isNotNull(), F.lit(True)))
-    return _passes(marked, length, id_col, text_col, chunk_bytes, bucket_bytes, [*carry, NULLS], last, docs.schema)
+    marked = docs.withColumn(worded, F.when(F.col(text_col).isNotNull(), F.lit(True)))
+    return _passes(marked, length, id_col, text_col, chunk_bytes, bucket_bytes, [*carry, worded], last, docs.schema)

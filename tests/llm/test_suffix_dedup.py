@@ -12,15 +12,17 @@ from .conftest import rows_of
 from .test_text_passes import corpus, frame
 
 
+@pytest.mark.parametrize("block", [3, 64, 1 << 18])
 @pytest.mark.parametrize("seed", range(6))
-def test_columns_are_the_suffix_array(tmp_path, seed):
+def test_columns_are_the_suffix_array(tmp_path, seed, block):
     r = random.Random(seed)
     strings = [bytes(r.choice(b"ab" if seed % 2 else b"abcde") for _ in range(r.randint(0, 20))) for _ in range(r.randint(1, 30))]
     lens = np.array([len(s) for s in strings])
     data = np.frombuffer(b"".join(strings) + b"x", np.uint8)
     start = np.concatenate([[0], np.cumsum(lens)[:-1]])
-    S.build(data, start, lens, files := S.Columns(str(tmp_path)))
-    bwt, lcp = files.read()
+    S.build(data, start, lens, files := S.Columns(str(tmp_path), np.uint8, block))
+    bwt, lcp = (np.concatenate(x) for x in zip(*((b, c) for _, b, c in files.blocks())))
+    files.close()
     suffixes = sorted((s[k:] + b"\0", i, s[k - 1 : k] or b"\0") for i, s in enumerate(strings) for k in range(len(s) + 1))
     assert bytes(bwt) == b"".join(x[2] for x in suffixes)
 
@@ -40,6 +42,22 @@ def test_suffix_dedup(spark, length, monkeypatch):
     assert sorted(got, key=str) == sorted(brute.suffix_dedup(docs, length), key=str)
 
 
+@pytest.mark.parametrize("length", [254, 255, 300])
+def test_long_strings(spark, length):
+    r = random.Random(length)
+    body = "".join(r.choice("abcdefgh ") for _ in range(900))
+    docs = [(1, body[:700]), (2, "x" + body[200:650]), (3, body[100 : 100 + length - 1]), (4, "yy" + body[500:] + "z"), (5, None)]
+    got = rows_of(S.suffix_dedup(frame(spark, docs), length, full=False, chunk_bytes=900, bucket_bytes=3000))
+    assert sorted(got, key=str) == sorted(brute.suffix_dedup(docs, length), key=str)
+    assert any(x[2] for x in got)
+
+
+@pytest.mark.parametrize("length", [3, 32_001])
+def test_lengths_that_have_no_pieces(spark, length):
+    with pytest.raises(ValueError):
+        S.suffix_dedup(frame(spark, [(1, "a")]), length)
+
+
 def test_small_collections(monkeypatch):
     import pyarrow as pa
 
