@@ -6,6 +6,8 @@ size; a larger benchmark is taken in blocks, one broadcast after the other over
 a written table.  Each document's words are hashed without loops, its windows
 are looked up, and every hit is verified word by word.
 
+A very long text is a slice by itself, hashed and looked up in blocks; equal windows of a slice are verified once.
+
 Nulls are texts without words.  Rows with a null or repeated id are judged
 each by itself.  An item without words is ignored; items that share an id are
 one item; items without an id share the empty id.  Empty tables give no rows,
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, covered, id_array, ids_of, prefix, rolling, row_filter, ship, slices, utf8, written
+from .common import CHUNK_BYTES, Words, covered, id_array, ids_of, row_filter, ship, slices, utf8, windows, written
 
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8 << 20
@@ -36,40 +38,36 @@ WORD[0x80:] = True
 SCHEMA = "doc_id bigint, text string, n_words bigint, hit array<boolean>, items array<string>"
 
 
-def normal_words(text: str | None) -> list[bytes]:
-    data = LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    w = Words(data, np.array([0, len(data)]), WORD)
-    body = data.tobytes()
-    return [body[a:b] for a, b in zip(w.start, w.end)]
-
-
-def window_hashes(word_hashes: np.ndarray, width: int) -> np.ndarray:
-    return rolling(prefix(word_hashes), width)
-
-
 class Index:
-    """Windows of benchmark items, by width: sorted hashes, and what each hash stands for."""
+    """Windows of benchmark items, by width: sorted hashes, and for each where its words are and its item.
+
+    Some 24 bytes a window besides the items' words and a sieve, so a block of BLOCK_BYTES of text stays below five times that."""
 
     def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.widths: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
-        found: dict[int, dict[bytes, set[str]]] = {}
-        for item, text in items:
-            words = normal_words(text)
-            if not words:
-                continue
-            width = min(n, len(words))
-            for i in range(len(words) - width + 1):
-                found.setdefault(width, {}).setdefault(b" ".join(words[i : i + width]), set()).add(item)
-        for width, windows in found.items():
-            data = np.frombuffer(b" ".join(windows), np.uint8)
-            w = Words(data, np.array([0, len(data)]), WORD)
-            h = window_hashes(w.hashes(), width)[::width]
-            table: dict[int, dict[bytes, set[str]]] = {}
-            for x, (window, own) in zip(h.tolist(), windows.items()):
-                table.setdefault(x, {})[window] = own
+        texts = [(text or "").encode() for _, text in items]
+        self.items = [item for item, _ in items]
+        data = LOWER[np.frombuffer(b"".join(texts), np.uint8)]
+        w = Words(data, np.concatenate([[0], np.cumsum([len(x) for x in texts], dtype=np.int64)]), WORD)
+        body = data.tobytes()
+        self.body = b" ".join([body[a:b] for a, b in zip(w.start, w.end)])
+        begin = np.concatenate([[0], np.cumsum(w.end - w.start + 1)])
+        hashes, item = w.hashes(), w.doc()
+        width_of = np.minimum(w.count, n)
+        self.widths: dict[int, tuple] = {}
+        for width in np.unique(width_of[width_of > 0]).tolist():
+            at = np.flatnonzero((width_of[item] == width) & (w.position() + width <= w.count[item]))
+            h = windows(hashes, width)[at]
+            order = np.lexsort((item[at], h))
+            h, at = h[order], at[order]
             sieve = np.zeros(1 << 20, bool)
             sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.widths[width] = (np.unique(h), sieve, table)
+            self.widths[width] = (h, sieve, begin[at], begin[at + width] - 1, item[at])
+
+    def found(self, width: int, h: np.uint64, window: bytes) -> set[str]:
+        """Items with this window."""
+        known, _, begin, end, item = self.widths[width]
+        low, high = np.searchsorted(known, h), np.searchsorted(known, h, "right")
+        return {self.items[item[i]] for i in range(low, high) if self.body[begin[i] : end[i]] == window}
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, list[set[str]]]:
         """Words, which of them are hit, and the items found in each document."""
@@ -79,18 +77,20 @@ class Index:
         starts, ends = [], []
         if len(w):
             hashes, doc, room = w.hashes(), w.doc(), np.repeat(w.first[1:], w.count)
-            for width, (known, sieve, table) in self.widths.items():
+            for width, (known, sieve, *_) in self.widths.items():
                 if len(w) < width:
                     continue
-                h = window_hashes(hashes, width)
+                h = windows(hashes, width)
                 at = np.flatnonzero(sieve[(h & np.uint64((1 << 20) - 1)).astype(np.int64)])
                 at = at[at + width <= room[at]]
-                at = at[np.isin(h[at], known)]
-                good = []
+                at = at[known[np.minimum(np.searchsorted(known, h[at]), len(known) - 1)] == h[at]]
+                good, seen = [], {}
                 for i in at.tolist():
-                    window = b" ".join(data[a:b].tobytes() for a, b in zip(w.start[i : i + width], w.end[i : i + width]))
-                    own = table[int(h[i])].get(window)
-                    if own is not None:
+                    window = b" ".join([data[a:b].tobytes() for a, b in zip(w.start[i : i + width], w.end[i : i + width])])
+                    own = seen.get(window)
+                    if own is None:
+                        seen[window] = own = self.found(width, h[i], window)
+                    if own:
                         items[doc[i]] |= own
                         good.append(i)
                 good = np.array(good, np.int64)
