@@ -11,8 +11,8 @@ stream, block by block.
 Of records with equal payloads of at least `min_bytes`, the one with the largest
 identifier is a response and the others are revisits without a payload block.
 
-A null payload is empty.  A null identifier is less than any other.  Rows that
-repeat the largest identifier and the payload are all responses.  An empty table
+A null payload is empty; a very long one only adds chunks.  A null identifier is less than any other.  Rows that
+repeat the largest identifier and the payload are all responses; their records share a WARC-Record-ID, as they are the same record.  An empty table
 gives an empty archive.  Other columns are not looked at.
 """
 
@@ -28,9 +28,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, written
+from .common import join_hot, ship, written
 
 CHUNK_BYTES = 64 << 10
+#: Bytes of chunks in a batch that is handed on.
+FLUSH_BYTES = 4 << 20
 #: A header of more bytes is an error, so that reading stays bounded.
 MAX_HEADER_BYTES = 64 << 10
 SCHEMA = "record bigint, chunk_no int, data binary, sha1_so_far string"
@@ -58,6 +60,19 @@ def header(record_type: str, record_id: str, uri: str | None, digest: str, size:
 
 
 def _serialise(chunk_bytes: int):
+    """Chunk rows, one after the other: of a payload no copy is made but of the chunks of a batch of rows."""
+
+    def chunks(page_id, uri, newest, size, sha, payload):
+        digest = digest_text(sha)
+        kind = "response" if newest is None or newest == page_id else "revisit"
+        body, running = size if kind == "response" else 0, hashlib.sha1()
+        yield header(kind, f"urn:page:{page_id}:{digest}", uri, digest, size, body, page_id, newest), running.hexdigest()
+        for a in range(0, body, chunk_bytes):
+            part = payload[a : a + chunk_bytes]
+            running.update(part)
+            yield bytes(part), running.hexdigest()
+        yield b"\r\n\r\n", running.hexdigest()
+
     def run(batches):
         record = TaskContext.get().partitionId() << 32
         out: list[list] = [[], [], [], []]
@@ -68,26 +83,13 @@ def _serialise(chunk_bytes: int):
 
         for batch in batches:
             for i in range(batch.num_rows):
-                page_id, uri, newest, size = (batch.column(c)[i].as_py() for c in range(4))
-                payload = memoryview(batch.column(4)[i].as_buffer()) if batch.column(4)[i].is_valid else memoryview(b"")
-                whole = hashlib.sha1()
-                for a in range(0, size, chunk_bytes):
-                    whole.update(payload[a : a + chunk_bytes])
-                digest = digest_text(whole.digest())
-                kind = "response" if newest is None or newest == page_id else "revisit"
-                body = size if kind == "response" else 0
-                rows = [(header(kind, f"urn:page:{page_id}:{digest}", uri, digest, size, body, page_id, newest), hashlib.sha1().hexdigest())]
-                running = hashlib.sha1()
-                for a in range(0, body, chunk_bytes):
-                    part = payload[a : a + chunk_bytes]
-                    running.update(part)
-                    rows.append((bytes(part), running.copy().hexdigest()))
-                rows.append((b"\r\n\r\n", running.hexdigest()))
-                for n, (part, so_far) in enumerate(rows):
+                page_id, uri, newest, size, sha = (batch.column(c)[i].as_py() for c in range(5))
+                payload = memoryview(batch.column(5)[i].as_buffer())
+                for n, (part, so_far) in enumerate(chunks(page_id, uri, newest, size, sha, payload)):
                     for column, x in zip(out, (record, n, part, so_far)):
                         column.append(x)
                     held += len(part)
-                    if held >= 4 << 20:
+                    if held >= FLUSH_BYTES:
                         yield flush()
                         out, held = [[], [], [], []], 0
                 record += 1
@@ -98,13 +100,19 @@ def _serialise(chunk_bytes: int):
 
 
 def write(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A written archive of the pages: record, chunk_no, data, sha1_so_far."""
+    """A written archive of the pages: record, chunk_no, data, sha1_so_far.
+
+    Only digests meet by digest; payloads are exchanged once, by identifier and digest."""
     ship(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
-    own = own.withColumns({"size": F.octet_length("payload").cast("bigint"), "sha": F.sha1("payload")})
-    newest = own.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("newest"))
-    return written(own.join(newest, ["sha", "size"], "left").select("page_id", "uri", "newest", "size", "payload").mapInArrow(_serialise(chunk_bytes), SCHEMA), "warc")
+    own = own.withColumns({"size": F.octet_length("payload").cast("bigint"), "sha": F.unhex(F.sha1("payload"))})
+    own = own.withColumn("key", F.concat("sha", F.col("size").cast("string").cast("binary")))
+    seen = own.where(F.col("size") >= min_bytes).select("page_id", "key")
+    newest = seen.groupBy("key").agg(F.max("page_id").alias("newest"), F.count("*").alias("rows"))
+    known = join_hot(seen.distinct(), newest, "key", "rows", pages.count()).select(F.col("page_id").alias("id"), F.col("key").alias("of"), "newest")
+    both = own.join(known, own["page_id"].eqNullSafe(F.col("id")) & (own["key"] == F.col("of")), "left")
+    return written(both.select("page_id", "uri", "newest", "size", "sha", "payload").mapInArrow(_serialise(chunk_bytes), SCHEMA), "warc")
 
 
 class Reader:
