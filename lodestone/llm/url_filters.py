@@ -72,30 +72,86 @@ def with_rules(df: DataFrame, rules: list[tuple[str, str, str]], inline: int = M
     return df.join(best.select("host", "path", F.col("b.rule").alias("rule"), F.col("b.verdict").alias("rule_verdict")), ["host", "path"], "left")
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it, so that expressions stay small."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def url_key(url: Column) -> Column:
     """A url without its fragment, scheme and host lower-cased; null without ``://``."""
-    bare = F.regexp_extract(url, r"^[^#]*", 0)
-    head = F.regexp_extract(bare, r"^[^/?#]*://[^/?#]*", 0)
-    return F.when(F.instr(bare, "://") > 0, F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + F.lit(1))))
+    lowered = lambda bare, head: F.concat(F.translate(head, UPPER, LOWER), F.substr(bare, F.length(head) + F.lit(1)))
+    key = lambda bare: F.when(F.instr(bare, "://") > 0, let(F.regexp_extract(bare, r"^[^/?#]*://[^/?#]*", 0), lambda head: lowered(bare, head)))
+    return let(F.regexp_extract(url, r"^[^#]*", 0), key)
+
+
+def without_dots(path: Column) -> Column:
+    """A path without its segments `.` and `..`."""
+    none = F.array().cast("array<string>")
+    step = lambda kept, x: F.when(x == ".", kept).when(x == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.concat(kept, F.array(x)))
+
+    def joined(own):
+        kept = F.aggregate(F.slice(own, 2, F.size(own)), none, step)
+        tail = F.when(F.element_at(own, -1).isin(".", ".."), F.array(F.lit(""))).otherwise(none)
+        return F.concat(F.lit("/"), F.array_join(F.concat(kept, tail), "/"))
+
+    return let(F.split(path, "/", -1), joined)
+
+
+def resolved(base: Column, link: Column) -> Column:
+    """A link as a url, by the usual rules: absolute, without scheme, from the root, a query alone, or relative to the base's folder.  Null if it is none, like mailto:."""
+
+    def whole(base, link):
+        origin = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*", 0)
+        path = let(F.regexp_extract(base, r"^[^/?#]*://[^/?#]*([^?#]*)", 1), lambda p: F.when(p == "", F.lit("/")).otherwise(p))
+        return (
+            F.when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), link)
+            .when(link.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None))
+            .when(F.startswith(link, F.lit("//")), F.concat(F.regexp_extract(base, r"^[^/?#]*:", 0), link))
+            .when(F.startswith(link, F.lit("/")), F.concat(origin, link))
+            .when(F.startswith(link, F.lit("?")), F.concat(origin, path, link))
+            .when((link == "") | F.startswith(link, F.lit("#")), F.regexp_extract(base, r"^[^#]*", 0))
+            .otherwise(F.concat(origin, F.regexp_extract(path, r"^.*/", 0), link))
+        )
+
+    def plain(to):
+        own = lambda k: F.regexp_extract(to, r"(?s)^([^/?#]*://[^/?#]*)([^?#]*)(.*)$", k)
+        return F.when(own(2) == "", to).otherwise(F.concat(own(1), without_dots(own(2)), own(3)))
+
+    return let(base, lambda b: let(let(F.trim(link), lambda x: whole(b, x)), plain))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value in a tag, with character references for &, quotes and = replaced."""
+    of = lambda k: F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\"'\s>]+))", k)
+    value = F.concat(of(1), of(2), of(3))  # one of them has it
+    for pattern, char in ((r"(?i)&(?:quot|#34|#x22);", '"'), (r"(?i)&(?:apos|#39|#x27);", "'"), (r"(?i)&(?:equals|#61|#x3d);", "="), (r"(?i)&(?:amp|#38|#x26);", "&")):
+        value = F.regexp_replace(value, pattern, char)
+    return value
 
 
 def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Edges (a, b) between url keys: canonical links and refresh redirects in the pages."""
-    tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
+    """Edges (a, b) between url keys: canonical links and refresh redirects in the pages, resolved against the page's url or its first <base>."""
+    html = F.col(html_col)
+    tags = F.regexp_extract_all(html, F.lit(r"(?is)(<(?:link|meta|base)\b[^>]*>)"), 1)
+    some = html.rlike(r"(?i)\bcanonical\b|\brefresh\b")
+    raw = pages.where(some).select(F.col(url_col).alias("url"), tags.alias("tags"))
+    bases = F.filter(F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b")), lambda t: _attribute(t, "href")), lambda x: x != "")
+    raw = raw.select("url", F.get(bases, F.lit(0)).alias("base"), F.explode(F.filter("tags", lambda t: ~t.rlike(r"(?i)^<base\b"))).alias("tag"))
     tag = F.col("tag")
-    canonical = F.when(tag.rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract(tag, r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(tag.rlike(r"(?is)^<meta\b.*http-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract(tag, r"(?is)url\s*=\s*['\"]?([^\"'\s>]+)", 1))
-    raw = pages.where(F.instr(F.lower(F.col(html_col)), "canonical").__gt__(0) | F.instr(F.lower(F.col(html_col)), "refresh").__gt__(0)).select(F.col(url_col).alias("url"), F.explode(tags).alias("tag")).select("url", F.coalesce(canonical, refresh).alias("to")).where("length(to) > 0")
-    origin = F.regexp_extract(F.col("url"), r"^[^/?#]*://[^/?#]*", 0)
-    scheme = F.regexp_extract(F.col("url"), r"^[^/?#]*:", 0)
-    to = F.when(F.startswith(F.col("to"), F.lit("//")), F.concat(scheme, F.col("to"))).when(F.startswith(F.col("to"), F.lit("/")), F.concat(origin, F.col("to"))).otherwise(F.col("to"))
-    return raw.select(url_key(F.col("url")).alias("a"), url_key(to).alias("b")).where("a is not null and b is not null and a <> b").distinct()
+    canonical = F.when(tag.rlike(r"(?i)^<link\b") & F.array_contains(F.split(F.lower(_attribute(tag, "rel")), r"\s+"), "canonical"), _attribute(tag, "href"))
+    content = F.regexp_extract(_attribute(tag, "content"), r"(?is)^[^;,]*[;,]\s*url\s*=\s*(.*)$", 1)
+    refresh = F.when(tag.rlike(r"(?i)^<meta\b") & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), F.regexp_replace(F.trim(content), r"^[\"']|[\"']$", ""))
+    raw = raw.select("url", "base", F.coalesce(canonical, refresh).alias("to")).where("length(to) > 0 and url is not null")
+    base = F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url")))
+    return raw.select(url_key(F.col("url")).alias("a"), url_key(resolved(base, F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of edges (a, b) with the least node of their connected component: (node, component)."""
     shared_dir(edges.sparkSession)
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("m"))

@@ -2,12 +2,18 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from lodestone.llm.mixing import targets
 
 from .test_quality import labelled
 
 
+#: Names that the operators use themselves.
+ODD = ["id", "_id", "node", "_node", "row", "has_text", "_has_text", "whole_text", "size", "taken", "target", "shard", "slot", "place", "words", "carried", "class", "Kept", "block"]
+
+
 def tables(spark, tmp_path):
     r = random.Random(5)
     rows = labelled(500, 9)
@@ -22,7 +28,7 @@ def tables(spark, tmp_path):
     extra = [(1000, text[copy]), (1001, " ".join(w)), (1002, text[shared] + " " + passage), (1003, passage + " " + text[good[9]][::-1]), (1004, text[leak][::-1] + " " + bench.upper()), (1005, None), (1006, "")]
     docs += [(i, t, "en", None, len(t or "")) for i, t in extra]
     docs += [(None, text[good[20]][::-1], None, None, None)]
-    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").withColumns({x: F.col("doc_id") * 2 for x in ODD}).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, q, t) for i, _, q, t in rows if i % 2], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame([(1, bench)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     return docs, rows, good, passage
@@ -50,6 +56,8 @@ def test_stages(spark, tmp_path):
         assert passage in repeats[1002] and passage not in repeats[1003]
     assert set(repeats) - set(clean) == {1004} & set(repeats)
     assert set(mixed) <= set(clean) and len(mixed) > 50
+    assert df.columns == [*columns, "shard_", "slot_", "place_", "words_"]
+    assert df.where(" or ".join(f"not {x} <=> doc_id * 2" for x in ODD)).count() == 0
 
 
 def test_the_mix_has_its_target_words(spark):
@@ -67,6 +75,24 @@ def test_the_mix_has_its_target_words(spark):
     assert got["a"] == 900 and len({(x.shard, x.slot, x.place) for x in rows}) == len(rows)
 
 
+def test_a_very_long_text_and_copies_of_a_row(spark, tmp_path):
+    """A text of 2 MB, twice under other ids, and a row twice, come through all stages but quality; one of each is left."""
+    r = random.Random(8)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(9000)]
+    long_ = " ".join(r.choice(words) for _ in range(300_000))
+    short = " ".join(r.choice(words) for _ in range(80))
+    docs = [(1, long_, "en", "a", None), (2, long_, "en", "a", None), (3, short, "en", "b", 1), (3, short, "en", "b", 1), (None, None, None, None, None), (4, "", "en", "b", 0)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(1, words[0])], "item_id bigint, text string").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in P.STAGES[1:4]:
+        df = stage(spark, df, str(tmp_path))
+        df.write.parquet(out := f"{tmp_path}/{stage.__name__}")
+        df = spark.read.parquet(out)
+    assert sorted((x.doc_id, x.text) for x in df.where("text <> ''").collect()) == [(1, long_), (3, short)]
+    rows = P.mixing_to_weights(spark, df, "").collect()
+    assert sum(x.words for x in rows if x.source == "b") == 240 and {x.doc_id for x in rows} == {1, 3}
+
+
 def test_run_on_empty_tables(spark, tmp_path):
     tables(spark, tmp_path / "a")
     for name in ("documents", "labels", "benchmark"):

@@ -99,3 +99,35 @@ def test_empty(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert url_filter(none, RULES).count() == 0
     assert url_filter(none, []).count() == 0
+
+
+def test_links_resolve_as_usual(spark):
+    from urllib.parse import urljoin
+
+    from pyspark.sql import functions as F
+
+    from lodestone.llm.url_filters import resolved
+
+    bases = ["http://a.de/b/c/d?q=1", "http://a.de", "https://a.de/x/", "http://a.de/x?y=/z/"]
+    links = ["g", "./g", "g/", "/g", "//h.org/g", "?y", "g?y", "#s", "g#s", "..", "../", "../g", "../..", "../../g", "../../../g", "./../g", "g/./h", "g/../h", "http://z.net/a/b", "page2.html", "a b/../c"]
+    rows = [(b, x) for b in bases for x in links]
+    got = spark.createDataFrame(rows, "b string, x string").select("b", "x", resolved(F.col("b"), F.col("x")).alias("y")).collect()
+    for b, x, y in got:
+        want = urljoin(b, x).split("#")[0].replace("a.de?", "a.de/?")
+        assert y.split("#")[0].rstrip("/") == want.rstrip("/"), (b, x)
+    assert spark.createDataFrame([("http://a.de/", "mailto:x@y")], "b string, x string").select(resolved(F.col("b"), F.col("x"))).first()[0] is None
+
+
+def test_blocks_pass_over_links_in_pages(spark):
+    pages = [
+        (1, "http://www.example.net/p", None),
+        (2, "http://a.de/x/1.html", '<LINK href="../y/2.html?a=1&amp;b=2" REL="alternate Canonical">'),
+        (3, "http://a.de/y/2.html?a=1&b=2", "<meta content='0; URL=//www.example.net/p' http-equiv=Refresh>"),
+        (4, "http://b.de/q", '<base href="http://a.de/x/"><link rel=canonical href=1.html>'),
+        (5, "http://b.de/en", '<link rel="next" href="http://www.example.net/p">the canonical way'),
+        (6, "http://org/fr/z", '<link rel="canonical" href="http://a.de/x/1.html">'),
+        (7, "http://b.de/alone", '<link rel="canonical" href="mailto:a@b">'),
+    ]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id bigint, url string, html string, host string")
+    got = {r["page_id"]: r["verdict"] for r in url_filter(df, RULES).collect()}
+    assert got == {1: "block", 2: "block", 3: "block", 4: "block", 5: "allow", 6: "allow", 7: "allow"}
