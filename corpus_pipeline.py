@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import written
+from lodestone.llm.common import free, written
 from lodestone.llm.decontaminate import without_contaminated
 from lodestone.llm.mixing import mixed_parts
 from lodestone.llm.near_dedup import without_near_copies
@@ -43,9 +43,10 @@ def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """The mix: a row for each document part of each slot, as often as it is drawn.
 
     text is the part's; the document's other columns (n_chars, too) are those of the
-    whole document.  shard, slot and place order the parts; words is the part's size."""
+    whole document.  shard, slot and place order the parts; words is the part's size.
+    Where documents has a column of such a name, an underscore follows ours."""
     own = (F.col("text") if c == "text" else F.col("carried")[c].alias(c) for c in docs.columns)
-    return mixed_parts(docs).select(*own, "shard", "slot", "place", "words")
+    return mixed_parts(docs).select(*own, *(F.col(x).alias(free(x, docs.columns)) for x in ("shard", "slot", "place", "words")))
 
 
 STAGES = [
