@@ -10,16 +10,22 @@ KIND_PREFIXES = (
     (("graph", "layer"), "graph"),
     (("function",), "function"),
     (("excel",), "excel"),
-    (("msheet", "matrix_", "pdm", "matrix"), "matrix"),
-    (("spreadsheet", "book", "n2n", "o2o", "sheet", "mbook"), "worksheet"),
-    (("spread",), "matrix"),
+    (("msheet", "matrix_"), "matrix"),
+    (("pdm", "matrix", "spread"), "matrix"),
+    (("book", "n2n", "o2o", "sheet", "spreadsheet"), "worksheet"),
+    (("mbook",), "worksheet"),
     (("note",), "note"),
     (("__",), "meta"),
 )
-EXCEL_SUFFIXES = (".xls", ".xlsx", ".xlsm", ".xlsb", ".csv")
+#: Kinds of names such as t_x, and names of workbook files.
+LETTER_KINDS = {"t": "worksheet", "m": "matrix", "e": "excel", "f": "function"}
+EXCEL_SUFFIXES = (".xlsx", ".xls", ".xlsm", ".xlsb")
 #: Cell designations by code, value types by format code.
 DESIGNATIONS = {3: "X", 0: "Y", 5: "Z", 6: "XErr", 2: "YErr", 4: "Label"}
 VALUE_TYPES = {0x00: "numeric", 0x10: "numeric", 0x20: "numeric", 0x30: "numeric", 0x09: "text_numeric", 0x19: "text_numeric", 0x29: "text_numeric", 0x39: "text_numeric", 0x02: "time", 0x03: "date", 0x33: "date", 0x31: "text", 0x04: "month", 0x34: "month", 0x05: "day", 0x35: "day"}
+CELL_NUMBER = r"^[+-]?[0-9]+(\.[0-9]+)?([eE][+-]?[0-9]+)?$"
+#: Fixed values; members that others imply are left out.
+PLACEHOLDERS = ("plot", "intercept", "slope", "slope_2", "intercept_2")
 MARKDOWN = ("# ", "- ", "* ", "```", "> ")
 
 
@@ -34,6 +40,11 @@ def object_kind(name: Column) -> Column:
     """The kind that a name's prefix or suffix gives; null if none does."""
     low = F.lower(name)
     any_of = lambda test, parts: F.coalesce(*[F.when(test(low, F.lit(p)), F.lit(True)) for p in parts], F.lit(False))
+    letter = F.when(low.rlike("(?s)^._."), F.create_map(*[F.lit(x) for pair in LETTER_KINDS.items() for x in pair])[F.substring(low, 1, 1)])
+    return F.coalesce(letter, _by_affix(any_of))
+
+
+def _by_affix(any_of) -> Column:
     return first_rule([(any_of(F.endswith, EXCEL_SUFFIXES), "excel")] + [(any_of(F.startswith, parts), kind) for parts, kind in KIND_PREFIXES])
 
 
@@ -71,13 +82,28 @@ def content_class(cells: DataFrame, table: str, row: str, value: str) -> DataFra
     v = F.trim(F.col(value))
     some = F.coalesce(F.length(v) > 0, F.lit(False))
     inner = (v == "??") | F.startswith(v, F.lit("cell://"))
+    number = v.rlike(CELL_NUMBER)  # one is enough for data
     odd = (F.length(v) > 160) | v.rlike(r'[<>\\"@]') | F.substring(v, 1, 1).isin("!", ")", ";")
-    own = cells.groupBy(table, row).agg(F.count("*").alias("_width"), F.count_if(some).alias("_n"), F.count_if(some & inner).alias("_inner"), F.count_if(some & odd).alias("_odd"))
-    all_ = own.groupBy(table).agg(F.max("_width").alias("_width"), F.sum("_n").alias("n_values"), F.sum("_inner").alias("_inner"), F.sum("_odd").alias("_odd"))
-    kind = first_rule([(F.col("n_values") == 0, "empty"), (F.col("_inner") == F.col("n_values"), "internal_references"), ((F.col("_width") == 1) & (F.col("n_values") >= 8) & (F.col("_odd") * 2 > F.col("n_values")), "corrupt_text")], "data")
+    own = cells.groupBy(table, row).agg(F.count("*").alias("_width"), F.count_if(some).alias("_n"), F.count_if(some & inner).alias("_inner"), F.count_if(some & odd).alias("_odd"), F.count_if(some & number).alias("_numbers"))
+    all_ = own.groupBy(table).agg(F.max("_width").alias("_width"), F.sum("_n").alias("n_values"), F.sum("_inner").alias("_inner"), F.sum("_odd").alias("_odd"), F.sum("_numbers").alias("_numbers"))
+    kind = first_rule([(F.col("n_values") == 0, "empty"), (F.col("_inner") == F.col("n_values"), "internal_references"), ((F.col("_width") == 1) & (F.col("n_values") >= 8) & (F.col("_numbers") == 0) & (F.col("_odd") * 2 > F.col("n_values")), "corrupt_text")], "data")
     return all_.select(table, "n_values", kind.alias("content_class"))
 
 
+def meaningful(cells: DataFrame, table: str, row: str, value: str) -> DataFrame:
+    """Whether a table's cells look like data: a row of several cells, or one column whose distinct values aren't placeholders."""
+    v = F.trim(F.col(value))
+    rows = cells.groupBy(table, row).agg(F.count_if(F.length(v) > 0).alias("n"), F.min(F.when(F.length(v) > 0, v)).alias("v"))
+    wide = rows.groupBy(table).agg(F.max(F.col("n") > 1).alias("wide"))
+    v, low = F.col("v"), F.lower("v")
+    marked = F.startswith(v, F.lit("cell://")) | v.rlike(CELL_NUMBER) | v.rlike("^[0-9.eE+ -]+(;[0-9.eE+ -]+)+$")
+    word = (F.length(v) > 3) & ~F.endswith(v, F.lit("*")) & ~F.startswith(low, F.lit("sheet")) & ~F.startswith(low, F.lit("page")) & v.rlike("^[A-Za-z0-9._-]+( [A-Za-z0-9._-]+)*$")
+    found = rows.where("n = 1").select(F.col(table).alias("of"), "v").distinct().groupBy("of").agg(F.count("*").alias("n"), F.count_if(low.isin(*PLACEHOLDERS)).alias("stop"), F.count_if(marked).alias("marked"), F.count_if(marked | word).alias("good"))
+    n = F.coalesce("n", F.lit(0))
+    good = F.col("wide") | ((n == 1) & (F.col("marked") == 1)) | ((n > 1) & (F.col("stop") == 0) & (F.col("good") > 0) & (F.col("good") >= 0.25 * n))
+    return wide.join(found, F.col(table).eqNullSafe(F.col("of")), "left").select(table, F.coalesce(good, F.lit(False)).alias("meaningful"))
+
+
 def retrieval_formats(kind: Column) -> Column:
     tabular = kind.isin("worksheet", "matrix", "excel", "function", "worksheet_column")
     return F.when(tabular, F.array(*[F.lit(x) for x in ("json", "jsonl", "csv", "tsv", "xlsx")])).when(F.startswith(kind, F.lit("image_")), F.array(F.lit("json"), F.substring(kind, 7, 10))).otherwise(F.array(F.lit("json")))

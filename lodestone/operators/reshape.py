@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +37,73 @@ def tree(levels: list[tuple[DataFrame, str, str | None, str]]) -> DataFrame:
             here = df.join(up, F.col(parent).cast("bigint") == F.col("_up")).select(F.lit(depth).alias("level"), F.col(node).cast("bigint").alias("id"), F.concat("_path", F.lit("/"), F.col(name)).alias("path"))
         out, above = here if out is None else out.unionByName(here), here
     return out
+
+
+def value_shapes(df: DataFrame, key: str, at: str, value: str) -> DataFrame:
+    """How a column's values lie: stored, missing, missing at the end, and equal to the first stored one from the start on.
+
+    Two aggregates a column, no window: where stored values end and begin, and where one first differs."""
+    some = F.col(value).isNotNull()
+    head = df.groupBy(F.col(key).alias("of")).agg(F.count("*").alias("n"), F.count(value).alias("stored"), F.max(F.when(some, F.col(at))).alias("last_at"), F.min_by(value, F.when(some, F.col(at))).alias("head"))
+    both = df.join(head, F.col(key).eqNullSafe(F.col("of")))
+    change = both.groupBy(key).agg(F.min(F.when(~F.col(value).eqNullSafe(F.col("head")), F.col(at))).alias("change"), F.count_if(F.col("last_at").isNull() | (F.col(at) > F.col("last_at"))).alias("trailing_missing"), F.first("n").alias("n"), F.first("stored").alias("stored"))
+    again = df.join(change.withColumnRenamed(key, "of"), F.col(key).eqNullSafe(F.col("of")))
+    return again.groupBy(key).agg(F.first("stored").alias("stored"), F.first(F.col("n") - F.col("stored")).alias("missing"), F.first("trailing_missing").alias("trailing_missing"), F.count_if(F.col("change").isNull() | (F.col(at) < F.col("change"))).alias("repeated_prefix"))
+
+
+def numeric_columns(df: DataFrame, key: str, order: str, cell: str, first: int) -> DataFrame:
+    """Whether the first cells of a column that aren't blank all are numbers."""
+    some = df.where(F.length(F.trim(cell)) > 0).withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(order))).where(F.col("place") <= first)
+    return some.groupBy(key).agg(F.min(F.col(cell).try_cast("double").isNotNull()).alias("numeric"))
+
+
+def overlay(base: DataFrame, top: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Both maps' keys, with the values of `top` where it has the key."""
+    a = base.select(*(F.col(k).alias("a_" + k) for k in keys), *(F.col(v).alias("a_" + v) for v in values))
+    joined = a.join(top.withColumn("overlaid", F.lit(True)), [F.col("a_" + k) == F.col(k) for k in keys], "full")
+    over = F.coalesce("overlaid", F.lit(False))
+    return joined.select(*(F.coalesce(k, "a_" + k).alias(k) for k in keys), *(F.when(over, F.col(v)).otherwise(F.col("a_" + v)).alias(v) for v in values), over.alias("overlaid"))
+
+
+def zipped(df: DataFrame, key: str, lists: list[str]) -> DataFrame:
+    """Lists side by side, as far as the shortest goes, with a row number from 1; a key with an empty list has no rows."""
+    n = F.least(*(F.size(x) for x in lists))
+    return df.where(n > 0).select(key, F.posexplode(F.arrays_zip(*(F.slice(x, F.lit(1), n).alias(x) for x in lists))).alias("pos", "v")).select(key, (F.col("pos") + 1).alias("row_no"), *(F.col("v")[x].alias(x) for x in lists))
+
+
+def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
+    """Folders with their path from the root and their depth, by a recursive query: as many joins as the tree is deep.  Nodes that no root leads to are left out."""
+    view = f"nodes_{uuid.uuid4().hex}"
+    nodes.select(F.col(node).cast("bigint").alias("id"), F.col(parent).cast("bigint").alias("parent"), F.col(name).alias("name")).createOrReplaceTempView(view)
+    return nodes.sparkSession.sql(f"""
+WITH RECURSIVE w(id, path, depth) AS (SELECT id, name, 0 FROM {view} WHERE parent IS NULL
+UNION ALL SELECT c.id, concat(w.path, '/', c.name), w.depth + 1 FROM w JOIN {view} c ON c.parent = w.id)
+SELECT id, path, depth FROM w""")
+
+
+def branches(leaves: DataFrame, folder: str) -> DataFrame:
+    """Branches of a tree of leaves by their folders' paths: path, parent, depth, and how many leaves lie right in it."""
+    own = leaves.groupBy(F.col(folder).alias("path")).agg(F.count("*").alias("own"))
+    parts = F.split("path", "/")
+    up = own.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, F.lit(1), i), "/").alias("path"), i.alias("depth"), F.when(i == F.size(parts), F.col("own")).otherwise(0).alias("own")))).alias("b")).select("b.*")
+    all_ = up.groupBy("path", "depth").agg(F.sum("own").alias("n_leaves"))
+    return all_.select("path", F.nullif(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit("")).alias("parent"), "depth", "n_leaves")
+
+
+def region(cells: DataFrame, row: str, column: str, value: str, top: int, left: int, bottom: int, right: int) -> DataFrame:
+    """A rectangle of a table as tab-separated lines, one a row that has cells in it."""
+    own = cells.where(F.col(row).between(top, bottom) & F.col(column).between(left, right)).groupBy(row).pivot(column, list(range(left, right + 1))).agg(F.first(value))
+    return own.select(row, F.concat_ws("\t", *(F.coalesce(F.col(str(k)), F.lit("")) for k in range(left, right + 1))).alias("line"))
+
+
+def jsonl(df: DataFrame, file: str, columns: list[str], order: list[str]) -> DataFrame:
+    """JSON lines of each file: a header record (line 0) with the columns and the number of rows, then a record a row."""
+    number = F.row_number().over(Window.partitionBy(file).orderBy(*order))
+    rows = df.select(F.col(file).alias("file"), number.cast("bigint").alias("line_no"), F.to_json(F.struct(*columns)).alias("line"))
+    heads = df.groupBy(F.col(file).alias("file")).agg(F.count("*").alias("rows")).select("file", F.lit(0).cast("bigint").alias("line_no"), F.to_json(F.struct(F.array(*(F.lit(c) for c in columns)).alias("columns"), "rows")).alias("line"))
+    return heads.unionByName(rows)
+
+
+def canonical(df: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
+    """The fields of a fixed list, in its order; one that `df` hasn't is null."""
+    return df.select(*(F.col(n).cast(kind).alias(n) if n in df.columns else F.lit(None).cast(kind).alias(n) for n, kind in fields))

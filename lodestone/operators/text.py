@@ -29,3 +29,30 @@ def char_entropy(df: DataFrame, key: str, text: str) -> DataFrame:
     chars = df.select(key, F.explode(F.split(text, "")).alias("_c")).where("_c <> ''").groupBy(key, "_c").agg(F.count("*").alias("_n"))
     total = chars.groupBy(key).agg(F.sum("_n").alias("_t"), F.sum(F.col("_n") * F.log2(F.col("_n").cast("double"))).alias("_s"))
     return total.select(key, (F.log2(F.col("_t").cast("double")) - F.col("_s") / F.col("_t")).alias("entropy"))
+
+
+def object_tokens(df: DataFrame, key: str, text: str, kind_of, per_name: int, per_kind: int) -> DataFrame:
+    """Tokens of a text that name an object: key, pos, token, kind; at most `per_name` of a name and then `per_kind` of a kind, the first ones."""
+    tokens = F.regexp_extract_all(text, F.lit("([A-Za-z0-9_.@-]+)"), 1)
+    own = df.select(key, F.posexplode(tokens).alias("at", "token")).select(key, (F.col("at") + 1).alias("pos"), "token", kind_of(F.col("token")).alias("kind")).where("kind is not null")
+    few = own.withColumn("r", F.row_number().over(Window.partitionBy(key, "token").orderBy("pos"))).where(F.col("r") <= per_name)
+    return few.withColumn("r", F.row_number().over(Window.partitionBy(key, "kind").orderBy("pos"))).where(F.col("r") <= per_kind).drop("r")
+
+
+def shortened(text: Column, most: int) -> Column:
+    """A text of at most `most` characters; a longer one ends in three dots."""
+    return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most - 3), F.lit("..."))).otherwise(text)
+
+
+def workbook_links(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The first run between NULs that names an external workbook in brackets: key, reference, workbook."""
+    runs = F.filter(F.split(text, "\x00"), lambda x: x.rlike(r"(?i)\[[^\[\]]*\.xlsx\]"))
+    own = df.select(key, F.get(runs, F.lit(0)).alias("run")).where("run is not null")
+    return own.select(key, F.regexp_replace("run", "^\n", "").alias("reference"), F.regexp_extract("run", r"(?i)\[([^\[\]]*\.xlsx)\]", 1).alias("workbook"))
+
+
+def leaf_fields(df: DataFrame, key: str, markup: str, tags: list[str]) -> DataFrame:
+    """Texts of leaf elements with one of the tags: key, tag, value."""
+    found = F.regexp_extract_all(markup, F.lit(r"(<[a-z]+(?:\s[^<>]*)?>[^<>]*</)"), 1)
+    own = df.select(key, F.explode(found).alias("leaf")).select(key, F.regexp_extract("leaf", "^<([a-z]+)", 1).alias("tag"), F.trim(F.regexp_extract("leaf", ">([^<>]*)</$", 1)).alias("value"))
+    return own.where(F.col("tag").isin(tags))
