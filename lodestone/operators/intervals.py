@@ -37,13 +37,13 @@ def gaps(df: DataFrame, key: str, start: str, end: str, low: Column, high: Colum
     return both.where(F.col("gap_end") - F.col("gap_start") >= least)
 
 
-def sweep(df: DataFrame, key: str, start: str, end: str, rank: str) -> DataFrame:
+def sweep(df: DataFrame, key: str, start: str, end: str, rank: str, ranks: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """Cut at every boundary; each segment gets the highest rank that covers it (0: none), and equal neighbours are merged.
 
-    One pass over boundaries: a running count of open ranges per rank, no range join.  `rank` is 1, 2 or 3."""
-    ranks = [1, 2, 3]
-    opening = df.where(F.col(end) > F.col(start)).select(key, F.col(start).alias("at"), F.col(rank).alias("_r"), F.lit(1).alias("_d"))
-    closing = df.where(F.col(end) > F.col(start)).select(key, F.col(end).alias("at"), F.col(rank).alias("_r"), F.lit(-1).alias("_d"))
+    One pass over boundaries: a running count of open ranges per rank, no range join.  `ranks` are all ranks there are, ascending; a row with another one is an error."""
+    known = F.when(F.col(rank).isin(*ranks), F.col(rank)).otherwise(F.raise_error(F.lit("a rank that the sweep isn't told of")).cast("int"))
+    opening = df.where(F.col(end) > F.col(start)).select(key, F.col(start).alias("at"), known.alias("_r"), F.lit(1).alias("_d"))
+    closing = df.where(F.col(end) > F.col(start)).select(key, F.col(end).alias("at"), known.alias("_r"), F.lit(-1).alias("_d"))
     marks = opening.unionByName(closing).groupBy(key, "at").agg(*[F.sum(F.when(F.col("_r") == r, F.col("_d")).otherwise(0)).alias(f"_d{r}") for r in ranks])
     order = Window.partitionBy(key).orderBy("at")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
@@ -62,7 +62,9 @@ def bucketed(df: DataFrame, start: Column, end: Column, width: int, name: str =
 
 
 def contained_in_one(points: DataFrame, ranges: DataFrame, key: str, at: str, start: str, end: str, owner: str, width: int) -> DataFrame:
-    """Points with the one range of their key that holds them: owner if it is one, and how many there are."""
+    """Points with the one range of their key that holds them: owner if it is one, and how many there are.
+
+    A point's bucket is in one task, so its hits are counted there, before the exchange."""
     columns = points.columns
     left = points.withColumns({"_id": F.monotonically_increasing_id(), "_bucket": F.floor(F.col(at) / width)})
     right = bucketed(ranges.select(F.col(key).alias("_key"), start, end, owner).where(F.col(end) > F.col(start)), F.col(start), F.col(end), width, "_b")

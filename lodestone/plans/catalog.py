@@ -452,8 +452,8 @@ def text_issue_counts(spark, folder):
 
 @query("""
 WITH c AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS v FROM documents), s AS (SELECT doc_id, trim(v, ' ') AS v FROM c),
-g AS (SELECT doc_id, count(*) FILTER (length(v) > 0) AS n, count(*) FILTER (v = '??' OR starts_with(v, 'cell://')) AS inner_n, count(*) FILTER (length(v) > 0 AND (length(v) > 160 OR contains(v, '<') OR contains(v, '>') OR contains(v, chr(92)) OR contains(v, '"') OR contains(v, '@') OR v[1] IN ('!', ')', ';'))) AS odd FROM s GROUP BY 1)
-SELECT doc_id, n AS n_values, CASE WHEN n = 0 THEN 'empty' WHEN inner_n = n THEN 'internal_references' WHEN n >= 8 AND odd * 2 > n THEN 'corrupt_text' ELSE 'data' END AS content_class FROM g""")
+g AS (SELECT doc_id, count(*) FILTER (length(v) > 0) AS n, count(*) FILTER (v = '??' OR starts_with(v, 'cell://')) AS inner_n, count(*) FILTER (length(v) > 0 AND (length(v) > 160 OR contains(v, '<') OR contains(v, '>') OR contains(v, chr(92)) OR contains(v, '"') OR contains(v, '@') OR v[1] IN ('!', ')', ';'))) AS odd, count(*) FILTER (regexp_matches(v, '^[+-]?[0-9]+(\\.[0-9]+)?([eE][+-]?[0-9]+)?$')) AS numbers FROM s GROUP BY 1)
+SELECT doc_id, n AS n_values, CASE WHEN n = 0 THEN 'empty' WHEN inner_n = n THEN 'internal_references' WHEN n >= 8 AND numbers = 0 AND odd * 2 > n THEN 'corrupt_text' ELSE 'data' END AS content_class FROM g""")
 def tabular_content_class(spark, folder):
     cells = t(spark, folder, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("row", "v"))
     return classify.content_class(cells, "doc_id", "row", "v")
@@ -466,7 +466,10 @@ def contents(spark, folder, table: str = "documents", key: str = "doc_id", text:
     return t(spark, folder, table).select(key, F.col(text).cast("binary").alias("content"))
 
 
-@query()
+@query(r"""
+WITH s AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '([^ -~]*)([ -~]*)')) AS part, generate_subscripts(regexp_extract_all(text, '([^ -~]*)([ -~]*)'), 1) AS n FROM documents),
+p AS (SELECT doc_id, n, regexp_extract(part, '[ -~]*$', 0) AS run, sum(octet_length(encode(part))) OVER (PARTITION BY doc_id ORDER BY n) AS reach FROM s)
+SELECT doc_id, (reach - length(run))::BIGINT AS "offset", run AS text FROM p WHERE length(run) >= 4""")
 def binary_strings(spark, folder):
     return files.strings(contents(spark, folder), 4, "doc_id")
 

@@ -78,10 +78,9 @@ WITH m AS (SELECT event_type AS hypothesis, user_id AS marker FROM events WHERE
 SELECT hypothesis, matched, matched / total AS coverage, row_number() OVER (ORDER BY matched DESC, hypothesis)::INTEGER AS place FROM c, n""")
 def framing_coverage(spark, folder):
     events = t(spark, folder, "events")
-    total = events.agg(F.count_distinct("user_id").alias("total"))
+    total = events.agg(F.count_distinct("user_id")).first()[0]
     found = events.where("value > 30").groupBy(F.col("event_type").alias("hypothesis")).agg(F.count_distinct("user_id").alias("matched"))
-    ranked = found.join(F.broadcast(total))  # one row of totals
-    return ranked.select("hypothesis", "matched", (F.col("matched") / F.col("total")).alias("coverage"), F.row_number().over(Window.orderBy(F.col("matched").desc(), "hypothesis")).alias("place"))
+    return found.select("hypothesis", "matched", (F.col("matched") / F.lit(total)).alias("coverage"), F.row_number().over(Window.orderBy(F.col("matched").desc(), "hypothesis")).alias("place"))
 
 
 @query(f"SELECT kind, count(*) AS n, 'heuristic rows of this kind reached the limit of 100' AS warning FROM (SELECT {SQL_KIND.format(n='name')} AS kind FROM (SELECT {SQL_NAME} AS name FROM part)) GROUP BY 1 HAVING count(*) >= 100")

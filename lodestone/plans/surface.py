@@ -26,10 +26,11 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     docs = S.documents(files).select("path", "sha256")
     parts = [
         S.legacy_elements(files).where("kind = 'dataset'").select("path", F.lit("worksheet_column").alias("kind"), "name", F.col("start_offset").alias("offset"), (F.col("end_offset") - F.col("start_offset")).alias("length"), F.lit(False).alias("heuristic")),
+        S.unicode_elements(files).where("kind in ('column', 'raw_region', 'decoded_region')").select("path", F.when(F.col("kind") == "column", "worksheet_column").otherwise(F.col("kind")).alias("kind"), "name", F.col("start").alias("offset"), (F.col("end") - F.col("start")).alias("length"), F.lit(False).alias("heuristic")),
         S.images(files).where("valid").select("path", F.concat(F.lit("image_"), "kind").alias("kind"), F.concat("kind", F.lit("_"), "offset").alias("name"), "offset", "length", F.lit(False).alias("heuristic")),
         S.containers(files).select("path", "kind", F.concat("kind", F.lit("_"), "offset").alias("name"), "offset", "length", F.lit(True).alias("heuristic")),
     ]
-    items = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(docs, "path")
+    items = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]).join(docs, "path")
     same = Window.partitionBy("sha256", "kind", "name", "offset", "length").orderBy("path")
     items = items.withColumn("occurrence", F.row_number().over(same))
     identity = F.concat(F.lit("item:v1:"), F.sha2(F.concat_ws("|", "sha256", "name", "kind", "offset", "length", "occurrence").cast("binary"), 256))
@@ -45,7 +46,7 @@ def get(spark: SparkSession, path: str, item: str) -> DataFrame:
 def extract(spark: SparkSession, path: str, out: str) -> DataFrame:
     """Write the tables below `out` (which must not exist) and return the manifest: name, rows."""
     files = S.binary_files(spark, path)
-    tables = {"files": S.documents(files), "catalog": catalog(spark, path), "elements": S.legacy_elements(files), "cells": S.legacy_cells(files), "strings": S.strings(files), "numeric_tables": S.numeric_tables(files), "images": S.images(files)}
+    tables = {"files": S.documents(files), "catalog": catalog(spark, path), "elements": S.legacy_elements(files), "cells": S.legacy_cells(files).unionByName(S.unicode_cells(files).withColumnRenamed("ordinal", "dataset")), "storage_regions": S.storage_regions(files), "parameters": S.parameters(files), "strings": S.strings(files), "numeric_tables": S.numeric_tables(files), "images": S.images(files)}
     for name, df in tables.items():
         df.write.mode("errorifexists").parquet(f"{out}/{name}")
     counts = [spark.read.parquet(f"{out}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n_rows")) for name in sorted(tables)]

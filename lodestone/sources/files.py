@@ -12,12 +12,13 @@ import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codecs, legacy, scans
+from . import codecs, legacy, scans, unicode
 
 
 def ship(spark: SparkSession) -> None:
@@ -70,9 +71,8 @@ def scan(files: DataFrame, schema: str, rows: Callable[[bytes], Iterator[tuple]]
         for batch in batches:
             for i in range(batch.num_rows):
                 raw = batch.column(1)[i].as_py()
-                found = list(rows(raw)) if raw is not None else []
-                for a in range(0, len(found), 50_000):
-                    part = found[a : a + 50_000]
+                found = iter(rows(raw) if raw is not None else ())
+                while part := list(islice(found, 50_000)):
                     keys = batch.column(0).take(pa.array([i] * len(part), pa.int64()))
                     yield pa.RecordBatch.from_arrays([keys, *(pa.array([r[k] for r in part], kinds[t]) for k, (_, t) in enumerate(fields))], names=[key, *(n for n, _ in fields)])
 
@@ -159,3 +159,37 @@ def lz4_blocks(files: DataFrame, key: str = "path") -> DataFrame:
             at = data.find(b"<OriginStorage", at + 1)
 
     return scan(files, "start bigint, end bigint, payload binary", rows, key)
+
+
+def unicode_columns(files: DataFrame, key: str = "path") -> DataFrame:
+    """Stored columns of unicode projects, with what their payloads decode to."""
+    return scan(files, "ordinal int, name string, start bigint, end bigint, payload bigint, size bigint, encoding string, n_rows bigint, n_missing bigint, value_type string", unicode.column_rows, key)
+
+
+def unicode_cells(files: DataFrame, key: str = "path") -> DataFrame:
+    """Stored values of unicode projects in long form."""
+    return scan(files, "ordinal int, name string, row bigint, kind string, f64 double, i64 bigint, text string", unicode.cells, key)
+
+
+def unicode_elements(files: DataFrame, key: str = "path") -> DataFrame:
+    """The walk over unicode projects: start, end, kind, name."""
+    return scan(files, "start bigint, end bigint, kind string, name string", unicode.walk, key)
+
+
+def storage_regions(files: DataFrame, key: str = "path") -> DataFrame:
+    """Storage elements of unicode projects as text, plain and decoded: start, end, source, text."""
+
+    def rows(data: bytes):
+        packed = list(unicode.decoded_regions(data))
+        yield from ((a, b, "decoded", p.decode("utf-8", "replace")) for a, b, p in packed)
+        yield from ((a, b, "raw", data[a:b].decode("utf-8", "replace")) for a, b in unicode.raw_regions(data) if not any(x <= a < y for x, y, _ in packed))
+
+    return scan(files, "start bigint, end bigint, source string, text string", rows, key)
+
+
+def parameters(files: DataFrame, key: str = "path") -> DataFrame:
+    return scan(files, "name string, value double, offset bigint, length bigint", unicode.parameters, key)
+
+
+def length_blocks(files: DataFrame, key: str = "path") -> DataFrame:
+    return scan(files, "start bigint, end bigint, payload binary", unicode.length_blocks, key)

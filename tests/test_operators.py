@@ -91,8 +91,8 @@ def test_functions(spark):
 def test_classes(spark):
     from lodestone.functions import classify as C
 
-    names = spark.createDataFrame([("Graph3",), ("a.XLSX",), ("Matrix1",), ("Spreadsheet",), ("Spread2",), ("__x",), ("foo",)], "n string")
-    assert [r[0] for r in names.select(C.object_kind(F.col("n"))).collect()] == ["graph", "excel", "matrix", "worksheet", "matrix", "meta", None]
+    names = spark.createDataFrame([("Graph3",), ("a.XLSX",), ("Matrix1",), ("Spreadsheet",), ("Spread2",), ("__x",), ("foo",), ("f_x",), ("q_x",), ("a.csv",)], "n string")
+    assert [r[0] for r in names.select(C.object_kind(F.col("n"))).collect()] == ["graph", "excel", "matrix", "matrix", "matrix", "meta", None, "function", None, None]
     one = spark.range(1)
     value = lambda c: one.select(c).first()[0]
     assert [value(C.note_payload_type(F.lit(x))) for x in ("", "a <HTML>", "x\n# y", "plain")] == ["unknown_text", "html_like", "markdown_like", "plain_text"]
@@ -102,6 +102,6 @@ def test_classes(spark):
     kinds = [(n, d, e) for n, d, e in (("A_B", 0, 0), ("x", 0x6081, 0), ("x", 0, 0x4001), ("Matrix", 0, 0), ("x", 0, 0))]
     df = spark.createDataFrame(kinds, "n string, d int, e int")
     assert [r[0] for r in df.select(C.dataset_kind(F.col("n"), F.col("d"), F.col("e"))).collect()] == ["worksheet", "function", "matrix", "matrix", "meta"]
-    cells = [("a", 1, " "), ("b", 1, "??"), ("b", 1, "cell://x"), ("d", 1, "x"), ("d", 1, "y")] + [("c", i, "<q>") for i in range(9)]
+    cells = [("a", 1, " "), ("b", 1, "??"), ("b", 1, "cell://x"), ("d", 1, "x"), ("d", 1, "y")] + [("c", i, "<q>") for i in range(9)] + [("e", i, "<a>") for i in range(8)] + [("e", 8, "1.5")]
     got = dict(tuple(r)[::2] for r in C.content_class(spark.createDataFrame(cells, "t string, r int, v string"), "t", "r", "v").collect())
-    assert got == {"a": "empty", "b": "internal_references", "c": "corrupt_text", "d": "data"}
+    assert got == {"a": "empty", "b": "internal_references", "c": "corrupt_text", "d": "data", "e": "data"}
