@@ -72,3 +72,26 @@ def to_csv(df: DataFrame, out: str, separator: str = ",") -> None:
 def packed(df: DataFrame, values: str) -> DataFrame:
     """An array column as one text, joined by semicolons; those inside become %3B."""
     return df.withColumn(values, F.concat_ws(";", F.transform(values, lambda v: F.replace(v, F.lit(";"), F.lit("%3B")))))
+
+
+def walk(spark: SparkSession, path: str) -> DataFrame:
+    """Elements of legacy and unicode projects in order: path, kind, name, start, end."""
+    files = S.binary_files(spark, path)
+    legacy = S.legacy_elements(files).select("path", "kind", "name", F.col("start_offset").alias("start"), F.col("end_offset").alias("end"))
+    return legacy.unionByName(S.unicode_elements(files)).orderBy("path", "start", "end", "kind", "name")
+
+
+def artifacts(spark: SparkSession, path: str) -> DataFrame:
+    """The exact bytes of every item that has its own, as rows instead of files: path, artifact (a name with offset and length), bytes.
+
+    A table of them is written like any other, so no executor writes to its own disk."""
+    items = catalog(spark, path).select("path", "id", "kind", "offset", "length")
+    extension = F.when(F.startswith("kind", F.lit("image_")), F.substring("kind", 7, 10)).when(F.col("kind").isin("raw_region", "decoded_region"), "xml").otherwise("bin")
+    name = F.concat("kind", F.lit("_"), F.col("offset"), F.lit("_"), F.col("length"), F.lit("."), extension)
+    own = items.join(S.binary_files(spark, path).select("path", "content"), "path")
+    return own.select("path", "id", name.alias("artifact"), F.expr("substring(content, offset + 1, length)").alias("bytes"))
+
+
+def to_jsonl(df: DataFrame, out: str) -> None:
+    """One JSON record a row; the header record of a table is reshape.jsonl's."""
+    df.write.mode("errorifexists").option("ignoreNullFields", "true").json(out)
