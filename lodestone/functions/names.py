@@ -15,6 +15,8 @@ ATTACHMENT_EXTENSIONS = ("csv", "doc", "docx", "jpeg", "jpg", "odt", "ods", "pdf
 FUNCTION_TEXTS = ("<iy1", "<iy2", "<oy", "<operand", "<operator", "<formula", "<functionlist", "__xf", "__fitcurve", "expgraph", "xfname", "xfunctionname", "nlfitxfname", "<mathtool")
 FUNCTION_TAGS = ("formula", "func", "function", "functionlist", "__xf", "__fitcurve", "expgraph", "xfname", "xfunctionname", "nlfitxfname", "mathtool", "operator", "operand", "iy1", "iy2", "oy")
 GRAPH_TAGS = ("graph", "layer", "plot", "sheet")
+#: Words that a project's description is near.
+DESCRIPTION_MARKERS = ("Requires OriginPro", "Signed-rank", "Origin", "Project", "analysis")
 #: Kinds of viewer leaves by rank.
 TABULAR, MEDIA, TEXT = ("worksheet", "matrix", "excel", "report_table"), ("graph", "graph_preview", "image"), ("note", "function", "analysis_report")
 
@@ -111,6 +113,18 @@ def header(content: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(kind.isNotNull(), F.try_element_at(words, F.lit(2))).alias("version"), F.when(kind.isNotNull(), third.try_cast("bigint")).alias("number"))
 
 
+def description(content: Column, most: int = 160) -> Column:
+    """What a unicode project says of itself near its start: the longest span around one of the markers, the first of equal ones; null without any."""
+    text = F.decode(F.when(F.startswith(content, F.lit(b"CPYUA")), F.when(F.octet_length(content) < 256, content).otherwise(F.substring(content, 1, 512))), "ISO-8859-1")
+    spans = []
+    for k, marker in enumerate(DESCRIPTION_MARKERS):
+        at = F.instr(text, marker) - 1
+        low, high = F.greatest(F.lit(0), at - most // 4), F.least(F.length(text), at + most)
+        spans.append(F.when(at >= 0, F.struct((high - low).alias("n"), F.lit(-k).alias("k"), F.substr(text, low + 1, high - low).alias("span"))))
+    best = F.regexp_replace(F.array_max(F.filter(F.array(*spans), lambda x: x.isNotNull()))["span"], "^\\s+|\\s+$|\x00", "")
+    return F.when(F.length(best) > most, F.concat(F.substring(best, 1, most - 3), F.lit("..."))).when(F.length(best) > 1, best)
+
+
 def formula_token(token: Column, least: int = 2, most: int = 512) -> Column:
     """Whether a token is a formula: printable ASCII that begins with = and has a letter or digit."""
     return F.length(token).between(least, most) & token.rlike(r"^=[ -~]*[A-Za-z0-9][ -~]*$")

@@ -15,10 +15,6 @@ from . import surface
 OK, FAILED, USAGE, UNSUPPORTED, PARTIAL, DEPENDENCY, CORRUPT = range(7)
 
 
-class Missing(RuntimeError):
-    """A dependency that isn't there."""
-
-
 def _strings(spark: SparkSession, a) -> DataFrame:
     if a.least < 1:
         raise ValueError("strings have at least one character")
@@ -34,6 +30,12 @@ def _block(spark: SparkSession, a) -> DataFrame:
     return own.select("path", S.byte_range(own["content"], a.offset, a.length).alias("bytes"))
 
 
+def _workbook(spark: SparkSession, a) -> DataFrame:
+    cells = S.binary_files(spark, a.path)
+    surface.to_xlsx(S.unicode_columns(cells).orderBy("path", "ordinal"), a.out)
+    return S.unicode_columns(cells).groupBy("path").count()
+
+
 COMMANDS = {
     "inspect": lambda s, a: surface.inspect(s, a.path),
     "list": lambda s, a: surface.catalog(s, a.path),
@@ -46,6 +48,7 @@ COMMANDS = {
     "walk": lambda s, a: surface.walk(s, a.path),
     "artifacts": lambda s, a: surface.artifacts(s, a.path),
     "dump-block": _block,
+    "xlsx": _workbook,
 }
 
 
@@ -55,7 +58,7 @@ def parser() -> argparse.ArgumentParser:
     for name in COMMANDS:
         own = commands.add_parser(name)
         own.add_argument("path")
-        for extra, options in {"get": {"item": {}}, "extract": {"out": {}}, "compare": {"other": {}}, "strings": {"--least": {"type": int, "default": 4}}, "table-scan": {"--min-rows": {"type": int, "default": 5}, "--min-columns": {"type": int, "default": 2}}, "dump-block": {"offset": {"type": int}, "length": {"type": int}}}.items():
+        for extra, options in {"get": {"item": {}}, "extract": {"out": {}}, "xlsx": {"out": {}}, "compare": {"other": {}}, "strings": {"--least": {"type": int, "default": 4}}, "table-scan": {"--min-rows": {"type": int, "default": 5}, "--min-columns": {"type": int, "default": 2}}, "dump-block": {"offset": {"type": int}, "length": {"type": int}}}.items():
             if extra == name:
                 for flag, kw in options.items():
                     own.add_argument(flag, **kw)
@@ -87,7 +90,7 @@ def main(argv: list[str], spark: SparkSession | None = None, out=None, most: int
     except ValueError as e:
         print(e, file=sys.stderr)
         return USAGE
-    except Missing as e:
+    except ModuleNotFoundError as e:
         print(e, file=sys.stderr)
         return DEPENDENCY
     except Exception as e:  # a command line's last resort: the message, and the code for it

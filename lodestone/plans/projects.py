@@ -6,8 +6,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions import names
 from lodestone.operators import selection
-from lodestone.sources import columns, files, unicode
+from lodestone.sources import columns, files, payloads, unicode
 
 from .catalog import contents, query, t
 
@@ -116,3 +117,31 @@ def phase_recovery(spark, folder):
     own = t(spark, folder, "documents").select("doc_id", "text", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("phase"))
     odd = F.length("text") - F.length(F.regexp_replace("text", "[^ -~]", "")) + F.when(F.col("phase") == F.col("doc_id") % 3, 0).otherwise(1)
     return selection.best(own.withColumn("suspicious", odd), ["doc_id"], [F.col("suspicious"), F.col("phase")], ["phase", "suspicious"])
+
+
+@query("""
+SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'mser_strings_pset' WHEN 1 THEN 'storage_cell_ref_data' WHEN 2 THEN 'origin_storage_xml' WHEN 3 THEN 'recognized_payload_invalid' ELSE 'unknown' END AS family, CASE p_partkey % 5 WHEN 0 THEN 2 WHEN 1 THEN p_size END AS n_records FROM part""")
+def payload_family(spark, folder):
+    def make(b):
+        kinds = (lambda x: payloads.pack_strings([x["p_name"], ""]), lambda x: payloads.pack_references(x["p_size"]), lambda x: b"<OriginStorage/>", lambda x: payloads.pack_strings([x["p_name"]]) + b"\0", lambda x: x["p_name"].encode())
+        return [kinds[x["p_partkey"] % 5](x) for x in b]
+
+    files.ship(spark)
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(make(b.to_pylist()), pa.binary())], names=["p_partkey", "content"])
+
+    made = t(spark, folder, "part").select("p_partkey", "p_size", "p_name").mapInArrow(run, "p_partkey bigint, content binary")
+    return files.payload_families(made, "p_partkey")
+
+
+@query("""
+WITH c AS (SELECT p_partkey, 'CPYUA 4.3380 200' || chr(10) || p_name || (['', ' Project x', ' Origin', ' analysis of Project'])[p_partkey % 4 + 1] || repeat('z', p_size * 8) AS x FROM part), s AS (SELECT p_partkey, CASE WHEN length(x) < 256 THEN x ELSE substr(x, 1, 512) END AS x FROM c),
+m AS (SELECT p_partkey, x, v.k, instr(x, v.marker) - 1 AS i FROM s, (VALUES (0, 'Requires OriginPro'), (1, 'Signed-rank'), (2, 'Origin'), (3, 'Project'), (4, 'analysis')) v(k, marker)),
+g AS (SELECT p_partkey, k, substr(x, greatest(0, i - 40) + 1, least(length(x), i + 160) - greatest(0, i - 40)) AS span FROM m WHERE i >= 0), b AS (SELECT p_partkey, arg_max(span, {'a': length(span), 'b': -k}) AS span FROM g GROUP BY 1)
+SELECT p.p_partkey, CASE WHEN length(trim(span, chr(10) || ' ')) > 160 THEN substr(trim(span, chr(10) || ' '), 1, 157) || '...' WHEN length(trim(span, chr(10) || ' ')) > 1 THEN trim(span, chr(10) || ' ') END AS description FROM part p LEFT JOIN b ON b.p_partkey = p.p_partkey""")
+def project_descriptions(spark, folder):
+    tail = F.element_at(F.array(*(F.lit(x) for x in ("", " Project x", " Origin", " analysis of Project"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    text = F.concat(F.lit("CPYUA 4.3380 200\n"), "p_name", tail, F.repeat(F.lit("z"), F.col("p_size") * 8))
+    return t(spark, folder, "part").select("p_partkey", names.description(text.cast("binary")).alias("description"))

@@ -95,3 +95,23 @@ def artifacts(spark: SparkSession, path: str) -> DataFrame:
 def to_jsonl(df: DataFrame, out: str) -> None:
     """One JSON record a row; the header record of a table is reshape.jsonl's."""
     df.write.mode("errorifexists").option("ignoreNullFields", "true").json(out)
+
+
+#: Rows that a sheet of a workbook can hold.
+SHEET_ROWS = 1_048_576
+
+
+def to_xlsx(df: DataFrame, out: str) -> None:
+    """One sheet with a header row, row by row through the driver; needs a library that may be absent, and refuses what a sheet can't hold."""
+    try:
+        from openpyxl import Workbook
+    except ImportError as e:
+        raise ModuleNotFoundError("writing workbooks needs openpyxl") from e
+    book = Workbook(write_only=True)
+    sheet = book.create_sheet()
+    sheet.append(df.columns)
+    for n, row in enumerate(df.toLocalIterator()):
+        if n + 1 >= SHEET_ROWS:
+            raise ValueError("more rows than a sheet can hold")
+        sheet.append(list(row))
+    book.save(out)

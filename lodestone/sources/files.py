@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import codecs, legacy, scans, unicode
+from . import codecs, legacy, payloads, scans, unicode
 
 
 def ship(spark: SparkSession) -> None:
@@ -193,3 +193,8 @@ def parameters(files: DataFrame, key: str = "path") -> DataFrame:
 
 def length_blocks(files: DataFrame, key: str = "path") -> DataFrame:
     return scan(files, "start bigint, end bigint, payload binary", unicode.length_blocks, key)
+
+
+def payload_families(df: DataFrame, key: str = "path") -> DataFrame:
+    """The family of each payload (column content) and how many records it has."""
+    return scan(df, "family string, n_records int", lambda b: [payloads.family(b)], key)

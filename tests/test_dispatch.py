@@ -28,6 +28,10 @@ def test_commands(spark, tmp_path):
     assert run("dump-block", str(good / "b.opj"), "0", "999999")[0] == dispatch.USAGE
     assert run("table-scan", str(good))[0] == dispatch.UNSUPPORTED
     assert run("inspect", str(tmp_path / "none"))[0] == dispatch.FAILED
+    try:
+        import openpyxl  # noqa: F401
+    except ImportError:
+        assert run("xlsx", str(good), str(tmp_path / "x.xlsx"))[0] == dispatch.DEPENDENCY
     out = str(tmp_path / "out")
     assert run("extract", str(good), out)[0] == 0
     cells = spark.read.parquet(f"{out}/cells")
