@@ -246,19 +246,22 @@ def bounds(sets: list[np.ndarray], weights: list[np.ndarray | None], columns: in
     return both / union, (both + excess[:, None] + excess[None, :]) / union
 
 
-def _across(estimate: float, threshold: float):
-    """Links that join the components in one pair of blocks of a bucket.
+def _across(estimate: float, threshold: float, rows: int):
+    """Links that join the components in one pair of blocks of a bucket, of the pairs whose first shared band is this bucket's.
 
     Each node outside the largest component is tried on the nodes of other components that are nearest by
     either signature, until a link joins it or TRIES of them failed.  What near pairs are then left between
     components are compared whole, all of them."""
 
     def run(table: pa.Table) -> pa.Table:
-        bi, bj = table.column("bi")[0].as_py(), table.column("bj")[0].as_py()
+        bi, bj, here = (table.column(c)[0].as_py() for c in ("bi", "bj", "key"))
         node, label, block, sig, flat, keys, weights = (table.column(c).to_pylist() for c in ("node", "label", "block", "sig", "flat", "keys", "weights"))
-        second = any(x is not None for x in flat)
         flat = np.stack([np.frombuffer(x if y is None else y, np.uint32) for x, y in zip(sig, flat)])
         sig = np.stack([np.frombuffer(x, np.uint32) for x in sig])
+        kinds = [sig] if (sig == flat).all() else [sig, flat]
+        short = [np.ascontiguousarray((x ^ x >> 8 ^ x >> 16 ^ x >> 24).astype(np.uint8).T) for x in kinds]  # equal registers stay equal
+        bands = [band_keys(x, sig.shape[1] // rows, rows) for x in kinds]
+        band = next(int(np.flatnonzero(x[0] == here)[0]) for x in bands if (x[0] == here).any())
         part, block = np.unique(np.array(label, dtype=object), return_inverse=True)[1], np.array(block)
         top = np.arange(part.max() + 1)  # components as they are joined here
         out: list[tuple] = []
@@ -282,11 +285,11 @@ def _across(estimate: float, threshold: float):
 
         left = []
         for i in np.flatnonzero(part != np.bincount(part).argmax()).tolist():
-            near = (sig == sig[i]).mean(axis=1)
-            if second:
-                near = np.maximum(near, (flat == flat[i]).mean(axis=1))
+            near = np.max([(x == x[:, i : i + 1]).view(np.uint8).sum(axis=0, dtype=np.uint32) for x in short], axis=0)
             other = (block[i] == bi) & (block == bj) | (block[i] == bj) & (block == bi)
-            found = np.flatnonzero((near >= estimate) & other & (part != part[i]))
+            found = np.flatnonzero((near >= estimate * sig.shape[1]) & other & (part != part[i]))
+            if band:  # a pair that shares an earlier band, too, is compared in that one's bucket
+                found = found[~np.any([(x[i, :band] == y[found, :band]).any(axis=1) for x in bands for y in bands], axis=0)]
             failed = 0
             for k in found[np.argsort(-near[found], kind="stable")].tolist():
                 if failed == TRIES:
@@ -331,7 +334,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", "node", "sig", "flat", "label", "keys", "weights", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    more = written(left.groupBy("key", "bi", "bj").applyInArrow(_across(ESTIMATE, threshold), "a binary, b binary, similarity double"), "across")
+    more = written(left.groupBy("key", "bi", "bj").applyInArrow(_across(ESTIMATE, threshold, rows), "a binary, b binary, similarity double"), "across")
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)

@@ -117,9 +117,11 @@ def test_either_signature_is_near():
     r = np.random.default_rng(6)
     sets = np.sort(r.integers(0, 2**32 - 1, 200)).astype("<u4").tobytes()
     sig = [r.integers(0, 2**32 - 1, 125).astype(np.uint32).tobytes() for _ in range(2)]
-    for flat, links in (([None, sig[0]], 1), ([None, None], 0)):
-        rows = {"node": [b"a", b"b"], "label": [b"a", b"b"], "block": [0, 0], "bi": [0, 0], "bj": [0, 0], "sig": sig, "flat": flat, "keys": [sets, sets], "weights": [b"", np.r_[np.ones(199), 900].astype("<u4").tobytes()]}
-        assert N._across(N.ESTIMATE, N.THRESHOLD)(N.pa.table(rows)).num_rows == links
+    keys = N.band_keys(np.frombuffer(sig[0], np.uint32)[None, :], N.BANDS, N.ROWS)[0].tolist()
+    # the pair is compared in its first shared band only
+    for flat, key, links in (([None, sig[0]], keys[0], 1), ([None, sig[0]], keys[3], 0), ([None, None], keys[0], 0)):
+        rows = {"key": [key] * 2, "node": [b"a", b"b"], "label": [b"a", b"b"], "block": [0, 0], "bi": [0, 0], "bj": [0, 0], "sig": sig, "flat": flat, "keys": [sets, sets], "weights": [b"", np.r_[np.ones(199), 900].astype("<u4").tobytes()]}
+        assert N._across(N.ESTIMATE, N.THRESHOLD, N.ROWS)(N.pa.table(rows)).num_rows == links
 
 
 def test_registers_estimate_probability_jaccard():
