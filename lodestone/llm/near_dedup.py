@@ -175,20 +175,29 @@ def _sets(width: int, wanted):
     return run
 
 
-def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> float:
-    """The larger of probability Jaccard of the weights x, y of a, b (sorted, distinct) and Jaccard of a, b."""
-    both, ia, ib = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(both):
+def similarity(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, least: float = 0.0) -> float:
+    """The larger of probability Jaccard of the weights x, y of a, b (sorted, distinct) and Jaccard of a, b.
+
+    Where neither can reach `least`, the second one is enough: probability Jaccard is at most the sum of the
+    smaller shares."""
+    if not len(a) or not len(b):
+        return 0.0
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    hit = b[at] == a
+    n = int(np.count_nonzero(hit))
+    if not n:
         return 0.0
-    plain = len(both) / (len(a) + len(b) - len(both))
-    if x.max() == 1 and y.max() == 1:
+    plain, all_x, all_y = n / (len(a) + len(b) - n), float(x.sum(dtype=np.uint64)), float(y.sum(dtype=np.uint64))
+    if all_x == len(a) and all_y == len(b):
+        return plain
+    cx, cy = x[hit].astype(float), y[at[hit]].astype(float)
+    if max(plain, np.minimum(cx / all_x, cy / all_y).sum()) < least - 1e-9:
         return plain
-    only_x, only_y = np.delete(x, ia).astype(float), np.delete(y, ib).astype(float)
-    cx, cy = x[ia].astype(float), y[ib].astype(float)
-    total = 0.0
-    pairs, times = np.unique(np.stack([cx, cy]), axis=1, return_counts=True)
-    for (px, py), t in zip(pairs.T, times):
-        total += t / (only_x.sum() / px + only_y.sum() / py + np.maximum(cx / px, cy / py).sum())
+    only_x, only_y, total = all_x - cx.sum(), all_y - cy.sum(), 0.0
+    pairs, times = np.unique(x[hit].astype(U64) << U64(32) | y[at[hit]].astype(U64), return_counts=True)
+    for pair, t in zip(pairs.tolist(), times.tolist()):
+        px, py = pair >> 32, pair & 0xFFFFFFFF
+        total += t / (only_x / px + only_y / py + np.maximum(cx / px, cy / py).sum())
     return max(plain, total)
 
 
@@ -200,7 +209,7 @@ def _compare(threshold: float):
                 a, c = np.frombuffer(ka, "<u4"), np.frombuffer(kb, "<u4")
                 x = np.frombuffer(wa, "<u4") if wa else np.ones(len(a), np.uint32)
                 y = np.frombuffer(wb, "<u4") if wb else np.ones(len(c), np.uint32)
-                s = similarity(a, x, c, y)
+                s = similarity(a, x, c, y, threshold)
                 if s >= threshold:
                     good.append(i)
                     sims.append(s)
@@ -296,7 +305,7 @@ def _across(estimate: float, threshold: float, rows: int):
                     left.append((i, found))
                     break
                 if root(part[k]) != root(part[i]):
-                    failed += not join(i, k, similarity(*shingles(i), *shingles(k)))
+                    failed += not join(i, k, similarity(*shingles(i), *shingles(k), threshold))
         pairs = [(i, k) for i, found in left for k in found.tolist() if root(part[i]) != root(part[k])]
         if pairs:
             used, at = np.unique(np.array(pairs), return_inverse=True)
@@ -304,7 +313,7 @@ def _across(estimate: float, threshold: float, rows: int):
             plain, most = bounds([x for x, _ in sets], [None if weights[k] == b"" or weights[k] is None else w for k, (_, w) in zip(used, sets)])
             for x, y in at.reshape(-1, 2).tolist():
                 if most[x, y] >= threshold and root(part[used[x]]) != root(part[used[y]]):
-                    join(used[x], used[y], float(plain[x, y]) if plain[x, y] >= threshold else similarity(*sets[x], *sets[y]))
+                    join(used[x], used[y], float(plain[x, y]) if plain[x, y] >= threshold else similarity(*sets[x], *sets[y], threshold))
         return pa.table([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.float64()))], names=["a", "b", "similarity"])
 
     return run
