@@ -17,6 +17,9 @@ run within a segment, and a small table has each segment's first block.  A
 segment's texts meet its slots in one task, so texts are exchanged once.  Shares
 and quotas need one row per source on the driver, at most `max_sources`.
 
+A very long text is cut into parts like any other, within its segment.  Sources that tie in name are one;
+documents that tie in identifier are ordered by text, and equal ones have equal parts.
+
 Null texts have no words.  The null source is a source, the last one.  Rows that
 repeat an id are documents of their own.  Sources without words have target 0.
 An empty table gives no rows.  Other columns are not looked at; mixed_parts carries them.

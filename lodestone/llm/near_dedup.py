@@ -23,6 +23,7 @@ A link is a probability Jaccard similarity of weighted shingles, or a Jaccard
 similarity of distinct ones, of at least `threshold`.  For the comparison, sets are made
 again for the nodes in pairs only, found by a Bloom filter of fixed size.
 
+A very long text is a slice by itself, and its whole set is compared.
 Texts without words (also null) have no similarity: each is a class of its own.
 Null ids are in classes, but name one only if all its ids are null.  Rows that repeat an id and a text are copies.
 An empty table gives no rows.  Other columns are not looked at.

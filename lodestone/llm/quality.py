@@ -10,6 +10,8 @@ come to the driver.  A fifth of the sample, kept out of the fit, calibrates
 the models' outputs to probabilities (Platt), and fixed thresholds decide.  The
 weights, of fixed size, are broadcast and texts are scored in Arrow batches.
 
+A very long text is a slice by itself; no part of it is left out.
+
 Nulls have no words.  Null or repeated ids give a row each; labels that disagree
 for an id count as the worst of them, and null labels are ignored.  With fewer than
 `MIN_CLASS` rows of either class a model is left out and says nothing.  An empty

@@ -17,7 +17,8 @@ corpus costs its bucket one entry per chunk.
 
 Earlier means a smaller id, or the same id and an earlier start.  Null texts
 have no words; a null id sorts before all others; rows with an equal id
-count as the same document.  An empty table gives no rows.  Other columns are not looked at.
+count as the same document.  An empty table gives no rows.  Other columns are not looked at.  A very long text is
+a chunk by itself.
 """
 
 from __future__ import annotations

@@ -19,7 +19,7 @@ pieces, hold no string that another piece has; only they are left out of collect
 piece of the collection, so copies cost one entry per chunk.  A collection's
 files live in a folder of the task's own and go with it; nothing else reads them.
 
-Null texts are empty.  A null id sorts before all others; rows with an equal
+A very long text is a chunk by itself.  Null texts are empty.  A null id sorts before all others; rows with an equal
 id count as the same document.  Matches are judged on the input.  An empty table
 gives no rows.  Other columns are not looked at.
 """

@@ -6,7 +6,7 @@ slice of at most `slice_bytes` of text every distinct word is encoded once and
 its length is summed over its places.  With tokenizers that keep white space, whole texts are encoded,
 a long one by itself.
 
-Nulls count as empty texts (0 bytes, 0 tokens); rows with a null or repeated
+A very long text is a slice by itself.  Nulls count as empty texts (0 bytes, 0 tokens); rows with a null or repeated
 id are counted like any other; other columns are not looked at.
 """
 

@@ -10,7 +10,7 @@ shortcutting, with a checkpoint each round.  A url without a rule is blocked
 if any alias is blocked by a rule.  A url's own rule always stands, so an
 explicit allow is never overridden, and allowing is not passed on.
 
-Null urls and urls without ``://`` have an empty host and path, no rule and no
+Urls and pages of any length are taken whole.  Null urls and urls without ``://`` have an empty host and path, no rule and no
 aliases, and are allowed.  Null or repeated page ids give a row each.  An empty
 table gives an empty result.  Other columns are not looked at.
 """

@@ -76,10 +76,24 @@ def test_token_counts_by_pieces(spark):
     P = pytest.importorskip("public_tokenizers")
     import sentencepiece
 
-    docs = corpus(6, 10)
+    docs = corpus(6, 10) + [(300, "a bc " * 2000)]
     s = sentencepiece.SentencePieceProcessor(model_file=str(P.path("piece_bpe_32k.model")))
     got = rows_of(token_counts(frame(spark, docs), str(P.path("piece_bpe_32k.model"))))
-    assert sorted(got, key=str) == sorted(((i, len((x or "").encode()), len(s.encode(x or "")), False) for i, x in docs if len(s.encode(x or "")) <= 2048), key=str) or any(g[3] for g in got)
+    assert sorted(got, key=str) == sorted(((i, len((x or "").encode()), n := len(s.encode(x or "")), n > 2048) for i, x in docs), key=str) and any(g[3] for g in got)
+
+
+def test_token_counts_where_white_space_is_kept(spark):
+    """A byte-level tokenizer keeps spaces in its tokens, so texts are encoded whole."""
+    P = pytest.importorskip("public_tokenizers")
+    from lodestone.llm import token_counts as T
+
+    path = str(P.path("byte_bpe_50k.json"))
+    with open(path, "rb") as f:
+        t = T.load_json(f.read())
+    assert not T.cuts_at_space(t)
+    docs = corpus(6, 10) + [(300, "  a  bc\n\n" * 2000), (301, None)]
+    want = [(i, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 2048) for i, x in docs]
+    assert sorted(rows_of(token_counts(frame(spark, docs), path)), key=str) == sorted(want, key=str)
 
 
 def test_empty_tables(spark):
