@@ -60,3 +60,12 @@ def leaf_fields(df: DataFrame, key: str, markup: str, tags: list[str]) -> DataFr
     found = F.regexp_extract_all(markup, F.lit(r"(<[a-z]+(?:\s[^<>]*)?>[^<>]*</)"), 1)
     own = df.select(key, F.explode(found).alias("leaf")).select(key, F.regexp_extract("leaf", "^<([a-z]+)", 1).alias("tag"), F.trim(F.regexp_extract("leaf", ">([^<>]*)</$", 1)).alias("value"))
     return own.where(F.col("tag").isin(tags))
+
+
+def report_fields(df: DataFrame, key: str, markup: str) -> DataFrame:
+    """Of well-formed report markup: label, n, mean, and how many ID pairs it has with the last one's value.
+
+    Markup that doesn't parse has nulls, no error."""
+    good = F.when(F.col(markup).rlike(r"(?s)^\s*<([A-Za-z]+)\b.*</\1>\s*$"), F.col(markup))
+    at = lambda path: F.nullif(F.xpath_string(good, F.lit(path)), F.lit(""))
+    return df.select(key, at("/*/@Label").alias("label"), at("/*/N").try_cast("int").alias("n"), at("/*/Mean").try_cast("double").alias("mean"), F.xpath_int(good, F.lit("count(/*/Pair[@ID])")).alias("n_pairs"), at("/*/Pair[@ID][last()]").alias("last_pair"))

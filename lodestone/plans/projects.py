@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import names
-from lodestone.operators import selection
-from lodestone.sources import columns, files, payloads, unicode
+from lodestone.operators import selection, text
+from lodestone.sources import columns, files, legacy, payloads, unicode
 
 from .catalog import contents, query, t
 
@@ -74,8 +74,6 @@ def parameter_scan(spark, folder):
 
 @query("SELECT p_partkey // 100 AS file, p_name || ' ' || p_partkey AS text FROM part")
 def length_block_scan(spark, folder):
-    from lodestone.sources import legacy
-
     own = t(spark, folder, "part").groupBy(F.floor(F.col("p_partkey") / 100).alias("file")).agg(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))).alias("r"))
     made = packed(own, lambda r: b"CPYA 4.2673 552#\n" + b"".join(legacy.pack_frame(f"{x['p_name']} {x['p_partkey']}".encode()) for x in r))
     return files.length_blocks(made, "file").select("file", F.decode("payload", "UTF-8").alias("text"))
@@ -145,3 +143,26 @@ def project_descriptions(spark, folder):
     tail = F.element_at(F.array(*(F.lit(x) for x in ("", " Project x", " Origin", " analysis of Project"))), (F.col("p_partkey") % 4 + 1).cast("int"))
     text = F.concat(F.lit("CPYUA 4.3380 200\n"), "p_name", tail, F.repeat(F.lit("z"), F.col("p_size") * 8))
     return t(spark, folder, "part").select("p_partkey", names.description(text.cast("binary")).alias("description"))
+
+
+@query("""
+WITH f AS (SELECT p_partkey, p_partkey % 50 AS n, p_size AS b, p_size + 0.5 * (p_partkey % 50 - 1) AS e FROM part WHERE p_partkey % 4 <> 3)
+SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'polar' ELSE 'normal' END AS type, n AS points, CASE WHEN n > 0 THEN b::VARCHAR END AS first, CASE WHEN n > 0 THEN CASE WHEN e = floor(e) THEN e::BIGINT::VARCHAR ELSE e::DOUBLE::VARCHAR END END AS last FROM f""")
+def function_metadata(spark, folder):
+    files.ship(spark)
+
+    def run(batches):
+        for b in batches:
+            made = [legacy.pack_function(x["p_partkey"] % 50, float(x["p_size"]), 0.5, x["p_partkey"] % 3 == 0) if x["p_partkey"] % 4 != 3 else bytes(200) for x in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], names=["p_partkey", "content"])
+
+    made = t(spark, folder, "part").select("p_partkey", "p_size").mapInArrow(run, "p_partkey bigint, content binary")
+    return files.function_records(made, "p_partkey")
+
+
+@query("""
+WITH r AS (SELECT p_partkey, '<Report Label="' || p_name || '"><N>' || p_size || '</N><Mean>' || floor(p_retailprice)::BIGINT || '</Mean><Pair ID="a">1</Pair><Pair ID="b">' || p_size || '</Pair></Report>' AS x FROM part)
+SELECT p_partkey, regexp_extract(x, 'Label="([^"]*)"', 1) AS label, regexp_extract(x, '<N>([0-9]+)</N>', 1)::INTEGER AS n, regexp_extract(x, '<Mean>([0-9]+)</Mean>', 1)::DOUBLE AS mean, 2 AS n_pairs, regexp_extract(x, 'ID="b">([^<]*)<', 1) AS last_pair FROM r""")
+def report_fields(spark, folder):
+    x = F.concat(F.lit('<Report Label="'), "p_name", F.lit('"><N>'), "p_size", F.lit("</N><Mean>"), F.floor("p_retailprice"), F.lit('</Mean><Pair ID="a">1</Pair><Pair ID="b">'), "p_size", F.lit("</Pair></Report>"))
+    return text.report_fields(t(spark, folder, "part").select("p_partkey", x.alias("x")), "p_partkey", "x")

@@ -198,3 +198,8 @@ def length_blocks(files: DataFrame, key: str = "path") -> DataFrame:
 def payload_families(df: DataFrame, key: str = "path") -> DataFrame:
     """The family of each payload (column content) and how many records it has."""
     return scan(df, "family string, n_records int", lambda b: [payloads.family(b)], key)
+
+
+def function_records(df: DataFrame, key: str = "path") -> DataFrame:
+    """What the headers (column content) of functions say: type, points, first and last argument."""
+    return scan(df, "type string, points bigint, first string, last string", lambda b: [x for x in (legacy.function_record(b),) if x], key)

@@ -161,3 +161,26 @@ def pack_dataset(name: str, raw: bytes, rows: int, value_size: int, data_type: i
 
 def pack_file(datasets: list[bytes], rest: bytes = b"", version: str = "4.2673", build: str = "552") -> bytes:
     return f"CPYA {version} {build}#\n".encode() + pack_frame(bytes(0x27)) + pack_frame(b"") + b"".join(datasets) + pack_frame(b"") + rest
+
+
+#: Fixed values of the format: the type of a function's dataset, the code of a polar one, and where its points, begin and step are.
+FUNCTION, POLAR, POINTS, CODE = 0x6081, 0x1194, 0x21, 0x0A
+
+
+def function_record(head: bytes) -> tuple[str, int, str | None, str | None] | None:
+    """A function's type, number of points, and first and last argument with all digits; None if the header is no function's."""
+    a, n = FIELDS["data_type"]
+    if len(head) < POINTS + 20 or int.from_bytes(head[a : a + n], "little") != FUNCTION:
+        return None
+    points, begin, step = struct.unpack_from("<Idd", head, POINTS)
+    kind = "polar" if int.from_bytes(head[CODE : CODE + 2], "little") == POLAR else "normal"
+    return (kind, points, format(begin, ".17g"), format(begin + step * (points - 1), ".17g")) if points else (kind, 0, None, None)
+
+
+def pack_function(points: int, begin: float, step: float, polar: bool) -> bytes:
+    head = bytearray(0x7B)
+    head[CODE : CODE + 2] = (POLAR if polar else 0).to_bytes(2, "little")
+    struct.pack_into("<Idd", head, POINTS, points, begin, step)
+    a, n = FIELDS["data_type"]
+    head[a : a + n] = FUNCTION.to_bytes(n, "little")
+    return bytes(head)
