@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, ship, written
+from .common import ship, written
 
 CHUNK_BYTES = 64 << 10
 #: Bytes of chunks in a batch that is handed on.
@@ -102,16 +102,13 @@ def _serialise(chunk_bytes: int):
 def write(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """A written archive of the pages: record, chunk_no, data, sha1_so_far.
 
-    Only digests meet by digest; payloads are exchanged once, by identifier and digest."""
+    Payloads are exchanged once, by digest; a very common one's rows are split by Spark's skew join."""
     ship(pages.sparkSession)
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit("")).cast("binary")
     own = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(uri_col).cast("string").alias("uri"), payload.alias("payload"))
     own = own.withColumns({"size": F.octet_length("payload").cast("bigint"), "sha": F.unhex(F.sha1("payload"))})
-    own = own.withColumn("key", F.concat("sha", F.col("size").cast("string").cast("binary")))
-    seen = own.where(F.col("size") >= min_bytes).select("page_id", "key")
-    newest = seen.groupBy("key").agg(F.max("page_id").alias("newest"), F.count("*").alias("rows"))
-    known = join_hot(seen.distinct(), newest, "key", "rows", pages.count()).select(F.col("page_id").alias("id"), F.col("key").alias("of"), "newest")
-    both = own.join(known, own["page_id"].eqNullSafe(F.col("id")) & (own["key"] == F.col("of")), "left")
+    newest = own.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("page_id").alias("newest"))
+    both = own.join(newest, ["sha", "size"], "left")
     return written(both.select("page_id", "uri", "newest", "size", "sha", "payload").mapInArrow(_serialise(chunk_bytes), SCHEMA), "warc")
 
 
