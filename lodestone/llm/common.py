@@ -17,7 +17,6 @@ import atexit
 import os
 import shutil
 import tempfile
-import uuid
 import zipfile
 
 import numpy as np
@@ -27,6 +26,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.shared import shared_dir, written  # noqa: F401  (used by the operators)
+
 #: Bytes of text in a chunk; a longer document is a chunk by itself.
 CHUNK_BYTES = 4 << 20
 #: Bytes of text for which one bucket is made.
@@ -68,29 +69,6 @@ def ship(spark: SparkSession) -> None:
     sc._lodestone_shipped = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where none is set."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        if not named:
-            named = tempfile.mkdtemp(prefix="lodestone-checkpoints-")
-            atexit.register(shutil.rmtree, named, True)
-        sc.setCheckpointDir(named)
-    return named or sc.getCheckpointDir()
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """`df` as a table in the shared folder, deleted when the session ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free(name: str, *taken) -> str:
     """`name`, with underscores after it until none of the taken names is the same but for case."""
     used = {x.lower() for names in taken for x in names}

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 
 def transpose(cells: DataFrame, row: str, column: str, value: str, names: list) -> DataFrame:
     """Long cells as one row per `row`; the column names are given, so there is no pass to find them."""
@@ -72,13 +72,24 @@ def zipped(df: DataFrame, key: str, lists: list[str]) -> DataFrame:
 
 
 def paths(nodes: DataFrame, node: str, parent: str, name: str) -> DataFrame:
-    """Folders with their path from the root and their depth, by a recursive query: as many joins as the tree is deep.  Nodes that no root leads to are left out."""
-    view = f"nodes_{uuid.uuid4().hex}"
-    nodes.select(F.col(node).cast("bigint").alias("id"), F.col(parent).cast("bigint").alias("parent"), F.col(name).alias("name")).createOrReplaceTempView(view)
-    return nodes.sparkSession.sql(f"""
-WITH RECURSIVE w(id, path, depth) AS (SELECT id, name, 0 FROM {view} WHERE parent IS NULL
-UNION ALL SELECT c.id, concat(w.path, '/', c.name), w.depth + 1 FROM w JOIN {view} c ON c.parent = w.id)
-SELECT id, path, depth FROM w""")
+    """Folders with their path from the root and their depth: id, path, depth.  Nodes that no root leads to are left out; a cycle that a root leads to is an error.
+
+    Chains of folders double each round: one that ends below node `up` is joined to those of `up`.  So there are as many joins as the depth has binary digits,
+    and each round is written once.  A round that adds no path leaves only cycles; chains whose last parent is missing are dropped by the join."""
+    own = nodes.select(F.col(node).cast("bigint").alias("id"), F.col(parent).cast("bigint").alias("up"), F.col(name).alias("path"), F.lit(0).alias("depth"))
+    chains = written(own, "chains")
+    total, reach = chains.count(), 1
+    done, open_ = chains.where("up IS NULL"), chains.where("up IS NOT NULL")
+    while True:
+        above = done.unionByName(open_).where("id IS NOT NULL").select(F.col("id").alias("_id"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+        longer = open_.join(above.hint("merge"), F.col("up") == F.col("_id")).select("id", F.col("_up").alias("up"), F.concat("_path", F.lit("/"), "path").alias("path"), (F.col("_depth") + F.col("depth") + 1).alias("depth"))
+        chains = written(longer, "chains")
+        rooted = chains.where("up IS NULL")
+        if rooted.isEmpty():
+            return done.select("id", "path", "depth")
+        if reach > total:
+            raise ValueError("a root leads to a cycle of nodes")
+        done, open_, reach = done.unionByName(rooted), chains.where("up IS NOT NULL"), reach * 2
 
 
 def branches(leaves: DataFrame, folder: str) -> DataFrame:

@@ -92,6 +92,31 @@ def test_paths_and_branches(spark):
     assert sorted(tuple(r) for r in reshape.branches(leaves.where("f is not null"), "f").collect()) == [("a", None, 1, 1), ("a/b", "a", 2, 2)]
 
 
+def test_paths_beyond_the_limits_of_recursion(spark):
+    """More rows and more levels than a recursive query may have, cycles, missing parents, repeated and null ids."""
+    chain = [(i, i - 1 if i else None, str(i % 7)) for i in range(150)]
+    odd = [(1000, 1001, "x"), (1001, 1000, "y"), (1002, 1000, "z"), (1003, 2000, "lost"), (None, None, "root"), (None, 0, "leaf"), (5, 2, "again"), (1004, 1, None), (1005, 1004, "below")]
+    nodes = spark.createDataFrame(chain + odd, "i int, p int, n string")
+    children = {}
+    for i, p, n in chain + odd:
+        children.setdefault(p, []).append((i, n))
+    want, now = [], [(i, n, 0) for i, n in children[None]]
+    while now:
+        want += now
+        now = [(c, None if path is None or n is None else f"{path}/{n}", d + 1) for i, path, d in now if i is not None for c, n in children.get(i, [])]
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "40")
+    try:
+        assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in reshape.paths(nodes, "i", "p", "n").collect())
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+
+
+def test_paths_into_a_cycle_are_an_error(spark):
+    nodes = spark.createDataFrame([(1, None, "a"), (1, 2, "b"), (2, 1, "c")], "i int, p int, n string")
+    with pytest.raises(ValueError, match="cycle"):
+        reshape.paths(nodes, "i", "p", "n")
+
+
 def test_entropy_of_odd_texts(spark):
     df = spark.createDataFrame([(1, "aabb"), (2, ""), (3, None), (4, "aaaa"), (5, "é" * 3 + "中")], "k int, t string")
     got = {r["k"]: round(r["entropy"], 6) for r in text.char_entropy(df, "k", "t").collect()}
