@@ -2,7 +2,8 @@
 
 :func:`write` turns payloads into WARC/1.1 records and keeps them as rows of a
 record number, a chunk number and at most `chunk_bytes` bytes, with the SHA-1 of
-the payload so far.  The chunks of a partition in their order, one after the
+the payload so far.  A record of at most `chunk_bytes` is one row, marked `whole`; those are read
+where they lie, and only the chunks of longer ones are exchanged to read them.  The chunks of a partition in their order, one after the
 other, are a valid archive (:func:`archive_bytes`).  :func:`read` streams the
 chunks of each record in order: it holds a header and one chunk, and takes the
 digest as it goes.  :func:`parse_stream` makes such rows from any WARC byte
@@ -35,7 +36,7 @@ CHUNK_BYTES = 64 << 10
 FLUSH_BYTES = 4 << 20
 #: A header of more bytes is an error, so that reading stays bounded.
 MAX_HEADER_BYTES = 64 << 10
-SCHEMA = "record bigint, chunk_no int, data binary, sha1_so_far string"
+SCHEMA = "record bigint, chunk_no int, data binary, sha1_so_far string, whole boolean"
 READ = "record bigint, record_id string, record_type string, target_uri string, payload_bytes bigint, payload_digest string, page_id bigint, refers_to bigint, verified boolean"
 
 
@@ -66,32 +67,37 @@ def _serialise(chunk_bytes: int):
         digest = digest_text(sha)
         kind = "response" if newest is None or newest == page_id else "revisit"
         body, running = size if kind == "response" else 0, hashlib.sha1()
-        yield header(kind, f"urn:page:{page_id}:{digest}", uri, digest, size, body, page_id, newest), running.hexdigest()
+        head, tail = header(kind, f"urn:page:{page_id}:{digest}", uri, digest, size, body, page_id, newest), b"\r\n\r\n"
+        if len(head) + body + len(tail) <= chunk_bytes:
+            running.update(payload[:body])
+            yield b"".join((head, payload[:body], tail)), running.hexdigest(), True
+            return
+        yield head, running.hexdigest(), False
         for a in range(0, body, chunk_bytes):
             part = payload[a : a + chunk_bytes]
             running.update(part)
-            yield bytes(part), running.hexdigest()
-        yield b"\r\n\r\n", running.hexdigest()
+            yield bytes(part), running.hexdigest(), False
+        yield tail, running.hexdigest(), False
 
     def run(batches):
         record = TaskContext.get().partitionId() << 32
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         held = 0
 
         def flush():
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.string()))], names=["record", "chunk_no", "data", "sha1_so_far"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.string(), pa.bool_()))], names=["record", "chunk_no", "data", "sha1_so_far", "whole"])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 page_id, uri, newest, size, sha = (batch.column(c)[i].as_py() for c in range(5))
                 payload = memoryview(batch.column(5)[i].as_buffer())
-                for n, (part, so_far) in enumerate(chunks(page_id, uri, newest, size, sha, payload)):
-                    for column, x in zip(out, (record, n, part, so_far)):
+                for n, (part, so_far, whole) in enumerate(chunks(page_id, uri, newest, size, sha, payload)):
+                    for column, x in zip(out, (record, n, part, so_far, whole)):
                         column.append(x)
                     held += len(part)
                     if held >= FLUSH_BYTES:
                         yield flush()
-                        out, held = [[], [], [], []], 0
+                        out, held = [[], [], [], [], []], 0
                 record += 1
         if out[0]:
             yield flush()
@@ -100,7 +106,7 @@ def _serialise(chunk_bytes: int):
 
 
 def write(pages: DataFrame, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", min_bytes: int = 0, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """A written archive of the pages: record, chunk_no, data, sha1_so_far.
+    """A written archive of the pages: record, chunk_no, data, sha1_so_far, whole.
 
     Payloads are exchanged once, by digest; a very common one's rows are split by Spark's skew join."""
     ship(pages.sparkSession)
@@ -184,7 +190,8 @@ def read(archive: DataFrame) -> DataFrame:
 
     A revisit's size and digest are those of the payload it refers to."""
     ship(archive.sparkSession)
-    return archive.repartition("record").sortWithinPartitions("record", "chunk_no").mapInArrow(_read, READ)
+    chunks = archive.where("NOT whole").repartition("record").sortWithinPartitions("record", "chunk_no")
+    return archive.where("whole").mapInArrow(_read, READ).unionByName(chunks.mapInArrow(_read, READ))
 
 
 def archive_bytes(archive: DataFrame) -> Iterator[bytes]:

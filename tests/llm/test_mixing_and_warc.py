@@ -132,6 +132,19 @@ def test_damage_is_found(spark):
         list(A.parse_stream([b"WARC/1.1\r\nContent-Length: 5\r\n\r\nab"]))
 
 
+def test_short_records_are_read_where_they_lie(spark):
+    """A record that fits a chunk is one row; only longer ones are exchanged; a cut row is found."""
+    from pyspark.sql import functions as F
+
+    pages = [(i, "u", str(i) * 40) for i in range(50)] + [(100, "u", "long " * 900), (101, "u", None)]
+    archive = A.write(spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(3), chunk_bytes=1500)
+    assert archive.groupBy("record").count().where("count > 1").count() == archive.where("chunk_no = 0 AND NOT whole").count() == 1
+    assert sorted(r.page_id for r in A.read(archive).where("verified").collect()) == sorted(x[0] for x in pages)
+    assert A.read(archive.where("whole")).count() == 51
+    with pytest.raises(Exception, match="ends within a record"):
+        A.read(archive.withColumn("data", F.expr("substring(data, 1, length(data) - 30)"))).collect()
+
+
 def test_empty_archive(spark):
     none = spark.createDataFrame([], "page_id bigint, url string, html string")
     assert A.round_trip(none).count() == 0
