@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.operators.shared import shared_dir, written  # noqa: F401  (used by the operators)
+from lodestone.operators.shared import dealt, shared_dir, written  # noqa: F401  (used by the operators)
 
 #: Bytes of text in a chunk; a longer document is a chunk by itself.
 CHUNK_BYTES = 4 << 20

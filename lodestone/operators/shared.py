@@ -22,12 +22,28 @@ def shared_dir(spark: SparkSession) -> str:
     return named or sc.getCheckpointDir()
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table in the shared folder, deleted when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, key: str, parts: int, label: str) -> DataFrame:
+    """Like written(), with the rows of a key in one of so many parts: to group by it takes no exchange, however often.
+
+    The catalog has its name only while it is made."""
+    spark, name = df.sparkSession, f"lodestone_{label}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(parts, key).write.format("parquet").bucketBy(parts, key).option("path", path).saveAsTable(name)
+    _delete_at_end(spark, path)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # not its files, which lie outside the warehouse
+    return table
