@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import ship, written
 
-CHUNK_BYTES = 64 << 10
+CHUNK_BYTES = 1 << 20
 #: Bytes of chunks in a batch that is handed on.
 FLUSH_BYTES = 4 << 20
 #: A header of more bytes is an error, so that reading stays bounded.
