@@ -14,6 +14,7 @@ corpus costs its bucket one entry per chunk.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -69,6 +70,53 @@ def ship(spark: SparkSession) -> None:
     sc._lodestone_shipped = True
 
 
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _TRIM = None
+
+
+def give_back() -> None:
+    """Return to the system what this process has freed."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM:
+        _TRIM(0)
+
+
+def lean(run):
+    """`run` for mapInArrow, giving back what it has freed at the end of a task.
+
+    A worker that waits for its next task keeps up its freed memory, and other workers may start beside it."""
+
+    def batched(batches):
+        yield from run(batches)
+        give_back()
+
+    return batched
+
+
+def lean_group(run):
+    """`run` for applyInArrow, giving back what it has freed after each group."""
+
+    def grouped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        give_back()
+        return out
+
+    return grouped
+
+
+def lean_pair(run):
+    """`run` for applyInArrow on cogroups, giving back what it has freed after each group."""
+
+    def paired(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = run(left, right)
+        give_back()
+        return out
+
+    return paired
+
+
 def free(name: str, *taken) -> str:
     """`name`, with underscores after it until none of the taken names is the same but for case."""
     used = {x.lower() for names in taken for x in names}
@@ -153,18 +201,20 @@ def slices(batches, limit: int = CHUNK_BYTES, text: int = 1):
             yield batch.slice(a, b - a)
 
 
-def row_filter(docs: DataFrame, text_col: str, make_mask) -> DataFrame:
-    """Rows of `docs`, all columns, for which a mask over (bytes, offsets) of the texts is set; make_mask() gives the mask function on an executor."""
+def row_filter(docs: DataFrame, text_col: str, make_mask, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Rows of `docs`, all columns, for which a mask over (bytes, offsets) of the texts is set; make_mask() gives the mask function on an executor.
+
+    limit: bytes of text that are looked at together, or one text."""
     at = docs.columns.index(text_col)
 
     def run(batches):
         mask = make_mask()
-        for piece in slices(batches, CHUNK_BYTES, at):
+        for piece in slices(batches, limit, at):
             keep = mask(*utf8(piece.column(at)))
             if keep.any():
                 yield piece.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 # ---------------------------------------------------------------- hashing
@@ -347,7 +397,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     """Documents as a written table of chunks, with the columns `carry` if asked for."""
     ship(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("bigint").alias(free("id", docs.columns)), F.col(text_col).cast("string").alias(free("whole_text", docs.columns)), *carry)
-    return written(own.mapInArrow(_packer(chunk_bytes), CHUNK_SCHEMA), "chunks")
+    return written(own.mapInArrow(lean(_packer(chunk_bytes)), CHUNK_SCHEMA), "chunks")
 
 
 def unpack(table: pa.Table | pa.RecordBatch, row: int = 0) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:

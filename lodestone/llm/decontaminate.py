@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, Words, covered, id_array, ids_of, row_filter, ship, slices, utf8, windows, written
+from .common import CHUNK_BYTES, Words, covered, id_array, ids_of, lean, row_filter, ship, slices, utf8, windows, written
 
 #: Bytes of benchmark text in one broadcast.
 BLOCK_BYTES = 8 << 20
@@ -139,7 +139,7 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: s
     blocks = list(benchmark_blocks(benchmark, n, item_col, item_text_col, block_bytes))
     out = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     for k, index in enumerate(blocks):
-        out = out.mapInArrow(_scanner(index()), SCHEMA)
+        out = out.mapInArrow(lean(_scanner(index())), SCHEMA)
         if k < len(blocks) - 1:
             out = written(out, "hits")
     return out

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import SPACE, Words, ship, utf8
+from .common import SPACE, Words, lean, lean_pair, ship, utf8
 
 #: Fixed values of the contract: words, and weights that repeat over the sources.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -179,7 +179,7 @@ def _deal(block_words: int, names: list[str]):
             "words": pa.array(np.concatenate([np.zeros(n, np.int64), words[part]]), pa.int64()),
             "part": pa.concat_arrays([none(pa.string()), pa.array(text, pa.string()).take(pa.array(part, pa.int64()))]),
         }
-        kept = docs.take(pa.array(row))
+        kept = docs.select([x for x in names if x not in dealt]).take(pa.array(row))  # without the whole texts
         return pa.table([dealt[x] if x in dealt else kept.column(x) for x in names], names=names)
 
     return run
@@ -214,11 +214,11 @@ def _mixed(docs: DataFrame, weights, block_words: int, most: int, seed: int, id_
     first = np.cumsum(many) - many - (np.cumsum(blocks) - blocks)[of]
     places = spark.sparkContext.broadcast((of, segment, first, blocks))
     drawn = spark.range(0, 1, 1, 1).mapInArrow(_draws(quotas(target, sizes, blocks.tolist(), most), shard_slots, seed), DRAWS)
-    slots = drawn.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(_slots(places, seed), SLOTS)
+    slots = drawn.repartition(2 * spark.sparkContext.defaultParallelism).mapInArrow(lean(_slots(places, seed)), SLOTS)
     schema = StructType.fromDDL("source_no bigint, segment bigint, row bigint, doc_id bigint, size bigint, shard bigint, slot bigint, place bigint, words bigint, part string")
     if carry:
         schema = StructType([*schema.fields, own.schema["carried"]])
-    dealt = own.groupBy("source_no", "segment").cogroup(slots.groupBy("source_no", "segment")).applyInArrow(_deal(block_words, schema.names), schema)
+    dealt = own.groupBy("source_no", "segment").cogroup(slots.groupBy("source_no", "segment")).applyInArrow(lean_pair(_deal(block_words, schema.names)), schema)
     return dealt, near
 
 

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, NULL_ID, SPACE, Words, join_hot, mix, ordered_spans, shared_dir, ship, slices, utf8, windows, written
+from .common import CHUNK_BYTES, NULL_ID, SPACE, Words, join_hot, lean, lean_group, mix, ordered_spans, shared_dir, ship, slices, utf8, windows, written
 from .url_filters import components
 
 U64 = np.uint64
@@ -223,7 +223,7 @@ def _compare(threshold: float):
 def sets_of(nodes: DataFrame, own: DataFrame, width: int) -> DataFrame:
     """Shingle sets of the nodes (and of few others): node, keys, weights."""
     wanted = own.sparkSession.sparkContext.broadcast(bloom(nodes))
-    return own.mapInArrow(_sets(width, wanted), "node binary, keys binary, weights binary").groupBy("node").agg(F.first("keys").alias("keys"), F.first("weights").alias("weights"))
+    return own.mapInArrow(lean(_sets(width, wanted)), "node binary, keys binary, weights binary").groupBy("node").agg(F.first("keys").alias("keys"), F.first("weights").alias("weights"))
 
 
 def verified(pairs: DataFrame, own: DataFrame, width: int, threshold: float) -> DataFrame:
@@ -231,7 +231,7 @@ def verified(pairs: DataFrame, own: DataFrame, width: int, threshold: float) ->
     sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), own, width)
     first = sets.select(F.col("node").alias("a"), F.col("keys").alias("ka"), F.col("weights").alias("wa"))
     second = sets.select(F.col("node").alias("b"), F.col("keys").alias("kb"), F.col("weights").alias("wb"))
-    return written(pairs.join(second, "b").join(first, "a").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(_compare(threshold), "a binary, b binary, similarity double"), "links")
+    return written(pairs.join(second, "b").join(first, "a").select("a", "b", "ka", "wa", "kb", "wb").mapInArrow(lean(_compare(threshold)), "a binary, b binary, similarity double"), "links")
 
 
 def bounds(sets: list[np.ndarray], weights: list[np.ndarray | None], columns: int = 4096) -> tuple[np.ndarray, np.ndarray]:
@@ -327,7 +327,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     shared_dir(spark)
     text = F.col(text_col).cast("string")
     own = docs.where(F.length(text) > 0).select(node_of(text).alias("node"), text.alias("text"))
-    signed = own.mapInArrow(_sign(width, bands, rows), "node binary, sig binary, flat binary, bands array<bigint>")
+    signed = own.mapInArrow(lean(_sign(width, bands, rows)), "node binary, sig binary, flat binary, bands array<bigint>")
     signed = written(signed.groupBy("node").agg(F.first("sig").alias("sig"), F.first("flat").alias("flat"), F.first("bands").alias("bands")), "signatures")
     banded = signed.select("node", F.explode("bands").alias("key"))
     hubs = banded.groupBy("key").agg(F.min("node").alias("hub"), F.count("*").alias("n")).where("n > 1")
@@ -344,7 +344,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, width: int = SHI
     left = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     left = left.select("key", "node", "sig", "flat", "label", "keys", "weights", "block", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"))
-    more = written(left.groupBy("key", "bi", "bj").applyInArrow(_across(ESTIMATE, threshold, rows), "a binary, b binary, similarity double"), "across")
+    more = written(left.groupBy("key", "bi", "bj").applyInArrow(lean_group(_across(ESTIMATE, threshold, rows)), "a binary, b binary, similarity double"), "across")
     if more.limit(1).count():
         links = links.unionByName(more)
         label = components(links)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, carried_of, covered, free, id_array, ordered_spans, pack, text_bytes, unbits, unpack, windows
+from .common import BYTE_CODE, bits, blob, bucket_count, by_bucket, carried_of, covered, free, id_array, lean, lean_group, lean_pair, ordered_spans, pack, text_bytes, unbits, unpack, windows
 
 U64 = np.uint64
 SENT = "bucket bigint, chunk bigint, keys binary, lens binary, owners binary, bytes binary"
@@ -475,10 +475,10 @@ def suffix_dedup(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text
 def _passes(docs: DataFrame, length: int, id_col: str, text_col: str, chunk_bytes: int, bucket_bytes: int, carry, last, schema) -> DataFrame:
     plan = Plan(length, bucket_count(text_bytes(docs, text_col), bucket_bytes))
     chunks = pack(docs, id_col, text_col, chunk_bytes, carry)
-    shared = chunks.mapInArrow(_send_minimizers(plan), SENT).groupBy("bucket").applyInArrow(mark_shared, BACK)
-    pieces = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(_send_pieces(plan), SENT)
-    answers = pieces.groupBy("bucket").applyInArrow(_match(plan), BACK)
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(last(plan), schema)
+    shared = chunks.mapInArrow(lean(_send_minimizers(plan)), SENT).groupBy("bucket").applyInArrow(lean_group(mark_shared), BACK)
+    pieces = chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(lean_pair(_send_pieces(plan)), SENT)
+    answers = pieces.groupBy("bucket").applyInArrow(lean_group(_match(plan)), BACK)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(lean_pair(last(plan)), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import written
 
 #: Up to so many rules are written into the plan; more are joined.
 MAX_INLINE_RULES = 2_000
@@ -146,18 +146,24 @@ def html_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -
     return raw.select(url_key(F.col("url")).alias("a"), url_key(resolved(base, F.col("to"))).alias("b")).where("a is not null and b is not null and a <> b").distinct()
 
 
+#: Edges for which one file of the labels is made.
+TABLE_ROWS = 100_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of edges (a, b) with the least node of their connected component: (node, component)."""
-    shared_dir(edges.sparkSession)
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    if both.isEmpty():
+    both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    parts = -(-both.count() // TABLE_ROWS)
+    if not parts:
         return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component")).checkpoint()
+    label = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    label = written(label.coalesce(parts), "label")
     while True:
         near = both.join(label, both["b"] == label["node"]).groupBy("a").agg(F.min("component").alias("m"))
         hooked = label.join(near, label["node"] == near["a"], "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("m", "component")).alias("c"))
         up = label.select(F.col("node").alias("c"), F.col("component").alias("top"))
-        after = hooked.join(up, "c", "left").select("node", "old", F.least("c", F.coalesce("top", "c")).alias("component")).checkpoint()
+        after = hooked.join(up, "c", "left").select("node", "old", F.least("c", F.coalesce("top", "c")).alias("component"))
+        after = written(after.coalesce(parts), "label")
         changed = after.where("component <> old").limit(1).count()
         label = after.select("node", "component")
         if not changed:

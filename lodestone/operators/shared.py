@@ -9,6 +9,10 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: For tables of a session: on a local disk Hadoop starts a process for each file and folder it makes, and checksums are
+#: files, too.  What an executor starts shows all its memory as its own for a moment.
+SCRATCH = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; one of our own only where none is set."""
@@ -31,7 +35,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """`df` as a table in the shared folder, deleted when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodestone-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**SCRATCH).parquet(path)
     _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
